@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, sharding, urlfilter
+from . import bpe, langid, mtree, neardup, ngramjoin, sharding, urlfilter
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_bpe": bpe.op2_bpe,
         "op3_langid": langid.op3_langid,
+        "op5_ngram_join": ngramjoin.op5_ngram_join,
+        "op7_embedding_neardup": neardup.op7_embedding_neardup,
+        "op9_topk": mtree.op9_topk,
         "op10_url_filter": urlfilter.op10_url_filter,
     }
 
