@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bound_batches, held_out, table
 
@@ -150,11 +151,11 @@ _made: dict[int, Scorer] = {}
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, lang_pred, score of every whole text; only the text enters the prediction."""
+    """doc_id, lang_pred, score of every whole text; only the text enters the prediction. doc_id can be of any type."""
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most WORDS + GRAMS entries
-    id_type = docs.schema["doc_id"].dataType
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         key = id(shared.value)
@@ -169,7 +170,13 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 ["doc_id", "lang_pred", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def keep_recognised(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose language can be told at all, by a model of their own labels."""
+    whole = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+    return predict(whole, fit(docs)).where("lang_pred != 'und'").select("doc_id.*")
 
 
 def op3_langid(spark, sf_dir):

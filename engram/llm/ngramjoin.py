@@ -42,6 +42,8 @@ WORDS, PERCENT = 4, 85
 BLOCK_SETS, BLOCK_GRAMS = 128, 1 << 17
 #: Cells of the query-by-n-gram matrix that a tile holds at once.
 CELLS = 8 << 20
+#: Rows (of 16 bytes) up to which a list of dropped documents is broadcast.
+BROADCAST_ROWS = 500_000
 HASH_CACHE = 300_000
 
 
@@ -99,7 +101,7 @@ def spread(tokens: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, n
     return tokens[order], np.bincount(owner, minlength=n).astype("<u4")
 
 
-_HEAD = ("i8", "u1", "u4", "V16", "u1", "u4", "u8")
+_HEAD = ("i8", "u1", "i8", "u4", "V16", "u1", "u4", "u8")
 _ASK = ("u4", "u8", "u4", "u8")
 _TELL = ("u4", "u8", "u4", "u4")
 
@@ -134,7 +136,7 @@ def sets_of(n: int, ranges: int):
             valid = np.array([x is not None for x in ids.to_pylist()], "u1")
             plain = np.array([x or 0 for x in ids.to_pylist()], "<i8")
             batch = (part << 32) | seq
-            rows = [(-1 - (batch % ranges), batch, pack(plain, valid, sizes, keys, first, n2, t2))]
+            rows = [(-1 - (batch % ranges), batch, pack(plain, valid, np.array(b.column(2), "<i8"), sizes, keys, first, n2, t2))]
             t1, o1 = tokens[~many], owner[~many]
             r1, r2 = ((t >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(t), np.int64) for t in (t1, k2))
             order = np.argsort(r1, kind="stable")
@@ -172,8 +174,8 @@ def count_range(t: pa.Table) -> pa.Table:
     return pa.table({"to": t.column("to"), "batch": t.column("batch"), "body": pa.array(out, pa.binary())})
 
 
-SET_SCHEMA = "doc_id long, n long, k binary, tokens binary, prefix array<long>"
-_SET_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+SET_SCHEMA = "doc_id long, text_hash long, n long, k binary, tokens binary, prefix array<long>"
+_SET_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
 def assemble(percent: int):
@@ -181,7 +183,7 @@ def assemble(percent: int):
 
     def run(t: pa.Table) -> pa.Table:
         rows = sorted(zip(t.column("to").to_pylist(), t.column("body").to_pylist(), strict=True), key=lambda r: r[0])
-        ids, valid, sizes, keys, first, n2, t2 = unpack(rows[0][1], *_HEAD)
+        ids, valid, hashes, sizes, keys, first, n2, t2 = unpack(rows[0][1], *_HEAD)
         docs = np.arange(len(ids))
         tells = [unpack(body, *_TELL) for _, body in rows[1:]]
         kinds = np.unique(t2)
@@ -202,7 +204,7 @@ def assemble(percent: int):
         key = [bytes(k) if n else None for k, n in zip(keys.tolist(), sizes.tolist(), strict=True)]
         return pa.table(
             {
-                "doc_id": pa.array(ids, mask=valid == 0), "n": pa.array(sizes.astype(np.int64)), "k": pa.array(key, pa.binary()),
+                "doc_id": pa.array(ids, mask=valid == 0), "text_hash": pa.array(hashes), "n": pa.array(sizes.astype(np.int64)), "k": pa.array(key, pa.binary()),
                 "tokens": pa.array(out_tokens, pa.binary()), "prefix": pa.array(out_prefix, pa.list_(pa.int64())),
             },
             schema=_SET_ARROW,
@@ -312,17 +314,18 @@ def join_tile(percent: int):
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row of docs (doc_id long, text string).
+    """doc_id, n_shingles, component_id, n_links, text_hash, component_key of every row of docs (doc_id long, text string).
 
     Links: 100 * intersection >= percent * union of the sets of ``words``-word n-grams; component_id
-    is the smallest doc_id reachable; n_links counts the other rows linked directly, copies included.
+    is the smallest doc_id reachable; n_links counts the other rows linked directly, copies included. text_hash is
+    xxhash64 of the text, component_key tells components apart even where ids repeat (null: an empty set).
     """
     spark = docs.sparkSession
     bound_batches(spark)
     rows, ranges = docs.count(), 64
     while ranges < 1 << 16 and ranges * 4096 < rows:
         ranges *= 2
-    asked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets_of(words, ranges), "to int, batch long, body binary")
+    asked = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(sets_of(words, ranges), "to int, batch long, body binary")
     told = asked.groupBy("to").applyInArrow(count_range, "to int, batch long, body binary")
     every = cut_lineage(told.groupBy("batch").applyInArrow(assemble(percent), SET_SCHEMA))
     classes = every.where("n > 0").groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
@@ -349,14 +352,36 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     classes = classes.join(joined.withColumnRenamed("node", "k"), "k", "left").join(links, "k", "left")
     classes = cut_lineage(classes.withColumn("root", F.coalesce("root", "k")))
     names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(names, "root").select("k", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return every.select("doc_id", "n", "k").join(named, "k", "left").select(
+    named = classes.join(names, "root").select("k", F.col("root").alias("component_key"), "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return every.select("doc_id", "text_hash", "n", "k").join(named, "k", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "text_hash",
+        "component_key",
     )
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without near duplicates: of every component the row with the smallest id (nulls last) stays,
+    and every row with an empty set. What goes is joined by (doc_id, text_hash), broadcast only if counted to be small."""
+    rows = cut_lineage(jaccard_components(docs, words, percent))
+    ranked = rows.where("component_key is not null").select("component_key", F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash").alias("s"))
+    first = ranked.groupBy("component_key").agg(F.min("s").alias("f"))
+    gone = ranked.join(first, "component_key").where(~F.col("s").eqNullSafe(F.col("f"))).select("s.doc_id", "s.text_hash").distinct()
+    twice = ranked.groupBy("s").count().where("count > 1").select("s.doc_id", "s.text_hash")
+
+    def having(df: DataFrame, keys: DataFrame, n: int, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if n <= BROADCAST_ROWS else keys
+        return df.join(keys, df["doc_id"].eqNullSafe(keys["doc_id"]) & (F.xxhash64(df["text"]) == keys["text_hash"]), how)
+
+    kept = having(docs, cut_lineage(gone), gone.count(), "left_anti")
+    if n := twice.count():  # rows that repeat both id and text: one of them
+        twice = cut_lineage(twice)
+        kept = having(kept, twice, n, "left_anti").union(having(kept, twice, n, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept
+
+
 def op5_ngram_join(spark, sf_dir):
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash", "component_key")

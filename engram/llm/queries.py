@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mtree, neardup, ngramjoin, sharding, urlfilter
+from . import bpe, html, langid, lmscore, mixing, mtree, neardup, ngramjoin, sharding, urlfilter
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_sharding": sharding.op1_sharding,
         "op2_bpe": bpe.op2_bpe,
         "op3_langid": langid.op3_langid,
+        "op4_mixing": mixing.op4_mixing,
         "op5_ngram_join": ngramjoin.op5_ngram_join,
+        "op6_html": html.op6_html,
         "op7_embedding_neardup": neardup.op7_embedding_neardup,
+        "op8_lm_score": lmscore.op8_lm_score,
         "op9_topk": mtree.op9_topk,
         "op10_url_filter": urlfilter.op10_url_filter,
     }
