@@ -121,17 +121,17 @@ def _count_models(shared):
                 np.add.at(counts[model], cells[pick], 1)
                 starts = sizes > 0 if model == 0 else (sizes > 0) & good
                 counts[model, v.start] += int(starts.sum())
-        step = -(-n // SLICES)
         slices, models, bodies = [], [], []
         for model in (0, 1):
             at = np.nonzero(counts[model])[0]
-            ends = np.searchsorted(at, np.arange(SLICES + 1) * step)
+            at = at[np.argsort(at % SLICES, kind="stable")]  # slices interleave, so that all are about as full
+            ends = np.searchsorted(at % SLICES, np.arange(SLICES + 1))
             for s in range(SLICES):
                 own = at[ends[s] : ends[s + 1]]
                 if len(own):
                     slices.append(s)
                     models.append(model)
-                    bodies.append((own - s * step).astype("<u4").tobytes() + counts[model, own].astype("<i8").tobytes())
+                    bodies.append((own // SLICES).astype("<u4").tobytes() + counts[model, own].astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(models, pa.int32()), pa.array(bodies, pa.binary())], ["slice", "model", "body"])
 
     return run
@@ -155,14 +155,15 @@ def fit(docs: DataFrame, labels: DataFrame, words: int = WORDS, least: int = LEA
     vocab = vocabulary(docs, words, least)
     shared = spark.sparkContext.broadcast(vocab)
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select("doc_id", F.lit(True).alias("_good"))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", "_good")
+    # labels grow with the documents, so both sides are shuffled at every size
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", "_good")
     n = _cells(len(vocab))
     step = -(-n // SLICES)
     rows = marked.mapInArrow(_count_models(shared), "slice int, model int, body binary")
     sums = rows.groupBy("slice", "model").applyInArrow(_sum_slices(step), "slice int, model int, body binary").collect()  # 2 * SLICES rows of fixed size
     counts = np.zeros((2, step * SLICES), np.int64)
     for r in sums:
-        counts[r["model"], r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["body"], "<i8")
+        counts[r["model"], r["slice"] :: SLICES] = np.frombuffer(r["body"], "<i8")
     return {"words": vocab, "background": counts[0, :n].astype(np.float32), "target": counts[1, :n].astype(np.float32)}
 
 
