@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut_lineage, table
 from .vectors import SLACK, chunk_rows, deal, distances, sample, stack, valid
 
-FANOUT, LEAF = 16, 96
+FANOUT, LEAF = 16, 256
 QUERY_BLOCK = 2048
 
 
@@ -52,7 +52,7 @@ class MTree:
         if len(at) <= LEAF:
             p = self.points[at]
             up = distances(p, centre[None])[:, 0] if centre is not None else np.zeros(len(at))
-            self.pages.append((True, at, p, np.zeros(len(at)), up))
+            self.pages.append((True, at, np.ascontiguousarray(p[:, :-1]), 0.0, up))
             return len(self.pages) - 1
         # routing objects by farthest-first choice, entries to the nearest one
         chosen = [0]
@@ -77,8 +77,9 @@ class MTree:
         self.pages.append((False, np.array(pages), routing, np.array(radii), up))
         return len(self.pages) - 1
 
-    def search(self, q: np.ndarray, bound: float, slack: float, k: int, visit) -> int:
-        """Best-first. visit(indexes) takes leaf entries and returns the new bound; returns how many distances were computed."""
+    def search(self, q: np.ndarray, bound: float, slack: float, visit) -> int:
+        """Best-first. visit(indexes, points) takes leaf entries, without their last coordinate, and returns the new
+        bound; returns how many distances were computed."""
         queue, computed = [(0.0, self.root, None)], 0
         while queue:
             least, page, to_parent = heapq.heappop(queue)
@@ -88,12 +89,13 @@ class MTree:
             if to_parent is not None:
                 open_ = np.abs(to_parent - up) - radii <= bound + slack
                 if not open_.all():
-                    index, points, radii = index[open_], points[open_], radii[open_]
+                    index, points = index[open_], points[open_]
+                    radii = 0.0 if leaf else radii[open_]
             if not len(index):
                 continue
             computed += len(index)
             if leaf:
-                bound = visit(index)
+                bound = visit(index, points)
                 continue
             d = np.sqrt(((points - q) ** 2).sum(1))
             for e, r, x in zip(index.tolist(), radii.tolist(), d.tolist(), strict=True):
@@ -106,30 +108,37 @@ def lift(v: np.ndarray, m2: float) -> np.ndarray:
     return np.concatenate([v, np.sqrt(np.maximum(m2 - (v * v).sum(1), 0))[:, None]], 1)
 
 
-def search_chunk(ids, v, query_ids, queries, floors, m2: float, k: int):
+def search_chunk(ids: np.ndarray, v: np.ndarray, query_ids, queries, floors, m2: float, k: int):
     """(query, vec, score) of the k best of a chunk for each query, of those at least at the query's floor."""
     tree = MTree(lift(v, m2))
-    ints = v.astype(np.int64)
     slack = SLACK * (1 + math.sqrt(m2))
+    exact = np.float64 if m2 < 1 << 52 else object  # sums of whole numbers below 2^53 are exact in doubles
     for qid, q, floor in zip(query_ids, queries, floors, strict=True):
-        qi, q2 = q.astype(np.int64), float((q * q).sum())
+        if exact is object:
+            whole = np.array([int(x) for x in q], object)
+        q2 = float(q @ q)
         best: list[tuple[int, int]] = []  # (score, -id), the worst first
-        reach = lambda s, q2=q2: math.sqrt(max(0.0, q2 + m2 - 2 * s))
-        start = math.inf if floor is None else reach(floor)
-
-        def visit(index, qi=qi, qid=qid, best=best, start=start, reach=reach, floor=floor):
-            scores = ints[index] @ qi
-            worst = best[0][0] if len(best) == k else floor
-            for s, x in zip(scores.tolist(), index.tolist(), strict=True):
-                if (worst is None or s >= worst) and ids[x] != qid:
+        top = q2 + m2
+        start = math.inf if floor is None else math.sqrt(max(0.0, top - 2 * floor))
+        worst = -math.inf if floor is None else floor
+
+        def visit(index, points):
+            nonlocal worst
+            scores = points @ q if exact is np.float64 else np.array([int(whole @ [int(x) for x in p]) for p in points], object)
+            near = np.nonzero(scores >= worst)[0]
+            if len(near):
+                for s, x in zip(scores[near].tolist(), ids[index[near]].tolist(), strict=True):
+                    if x == qid:
+                        continue
                     if len(best) < k:
-                        heapq.heappush(best, (s, -ids[x]))
-                    elif (s, -ids[x]) > best[0]:
-                        heapq.heapreplace(best, (s, -ids[x]))
-            return min(start, reach(best[0][0])) if len(best) == k else start
-
-        slack_q = slack + SLACK * math.sqrt(q2)
-        tree.search(np.append(q, 0.0), start, slack_q, k, visit)
+                        heapq.heappush(best, (int(s), -x))
+                    elif (s, -x) > best[0]:
+                        heapq.heapreplace(best, (int(s), -x))
+                if len(best) == k:
+                    worst = best[0][0]
+            return min(start, math.sqrt(max(0.0, top - 2 * best[0][0]))) if len(best) == k else start
+
+        tree.search(np.append(q, 0.0), start, slack + SLACK * math.sqrt(q2), visit)
         for s, x in best:
             yield qid, -x, s
 
@@ -150,7 +159,7 @@ def _search(dim: int, m2: float, k: int):
         if at and rest:
             qid, floor = t.column("qid").to_pylist(), t.column("floor").to_pylist()
             found = search_chunk(
-                np.frombuffer(packed[at[0]], np.int64).tolist(), stack([v[at[0]]], dim), [qid[i] for i in rest],
+                np.frombuffer(packed[at[0]], np.int64), stack([v[at[0]]], dim), [qid[i] for i in rest],
                 stack([v[i] for i in rest], dim), [floor[i] for i in rest], m2, k,
             )
         cols = list(zip(*found, strict=True)) or [(), (), ()]

@@ -240,12 +240,12 @@ def test_mtree_passes_over_far_entries():
     tree, q = mtree.MTree(mtree.lift(v, m2)), v[5]
     seen = []
 
-    def visit(index):
+    def visit(index, points):
         seen.extend(index.tolist())
         top = sorted((v[seen] @ q).tolist())[-5:]
         return np.sqrt(max(0.0, q @ q + m2 - 2 * top[0])) if len(top) == 5 else np.inf
 
-    computed = tree.search(np.append(q, 0.0), np.inf, 1e-3, 5, visit)
+    computed = tree.search(np.append(q, 0.0), np.inf, 1e-3, visit)
     assert sorted((v[seen] @ q).tolist())[-5:] == sorted((v @ q).tolist())[-5:]
     assert computed < 1500
 
