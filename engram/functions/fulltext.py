@@ -28,9 +28,9 @@ def lexemes(text: str) -> list[str]:
 
 def lexeme_array(sql: str) -> str:
     """array<string> of all lexemes in order, repeats included."""
-    stop = "array(" + ", ".join(map(quote, STOP_WORDS)) + ")"
+    stop = ", ".join(map(quote, STOP_WORDS))  # so many literals become a hash set
     words = f"transform(regexp_extract_all({sql}, '[A-Za-z0-9_]+', 0), w -> left(lower(w), {MAX_LEXEME}))"
-    return f"filter({words}, w -> NOT array_contains({stop}, w))"
+    return f"filter({words}, w -> w NOT IN ({stop}))"
 
 
 def stored_array(sql: str) -> str:
@@ -133,15 +133,28 @@ def match(array_sql: str, tree) -> str:
     """array @@ query."""
     if tree is None:
         return f"IF({array_sql} IS NULL, NULL, false)"
+    return _conditions(tree, lambda w: f"array_contains({array_sql}, {quote(w)})")
+
+
+def match_text(sql: str, tree) -> str:
+    """to_tsvector(text) @@ query without the vector: a search for each lexeme as a whole word."""
+    if tree is None:
+        return f"IF({sql} IS NULL, NULL, false)"
+    if any(len(w) >= MAX_LEXEME for w in _lexemes_of(tree)):  # longer words share this lexeme
+        return match(lexeme_array(sql), tree)
+    return _conditions(tree, lambda w: f"({sql} RLIKE '(?i)(?<![A-Za-z0-9_]){w}(?![A-Za-z0-9_])')")
+
+
+def _conditions(t, one) -> str:
+    if t[0] == "lex":
+        return one(t[1])
+    if t[0] == "not":
+        return f"(NOT {_conditions(t[1], one)})"
+    return f"({_conditions(t[1], one)} {t[0].upper()} {_conditions(t[2], one)})"
 
-    def build(t):
-        if t[0] == "lex":
-            return f"array_contains({array_sql}, {quote(t[1])})"
-        if t[0] == "not":
-            return f"(NOT {build(t[1])})"
-        return f"({build(t[1])} {t[0].upper()} {build(t[2])})"
 
-    return build(tree)
+def _lexemes_of(t) -> list[str]:
+    return [t[1]] if t[0] == "lex" else [w for x in t[1:] for w in _lexemes_of(x)]
 
 
 def positives(tree) -> list[str]:

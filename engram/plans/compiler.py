@@ -341,10 +341,8 @@ class Compiler:
         vec = e.left
         if isinstance(vec, A.Func) and vec.name == "TO_TSVECTOR":
             self.arity(vec, 1)
-            array = FT.lexeme_array(S.as_text(self.expr(vec.args[0], scope)))
-        else:
-            array = FT.stored_array(S.as_text(self.expr(vec, scope)))
-        return FT.match(array, self.text_query(e.right, scope))
+            return FT.match_text(S.as_text(self.expr(vec.args[0], scope)), self.text_query(e.right, scope))
+        return FT.match(FT.stored_array(S.as_text(self.expr(vec, scope))), self.text_query(e.right, scope))
 
     def aggregate(self, e: A.Func, scope) -> Value:
         if e.star:
