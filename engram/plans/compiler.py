@@ -383,8 +383,8 @@ class Compiler:
         relation, columns, managed = self.engine.relation(s.table, bool(wanted & set(STATEFUL)))
         return Source(relation, alias, names, columns, s.table if managed else None)
 
-    def from_sql(self, core: A.Core, scope: Scope) -> str:
-        wanted = {n.lower() for n in names_in(core)}
+    def from_sql(self, core: A.Core, scope: Scope, order=()) -> str:
+        wanted = {n.lower() for n in names_in(core) | names_in(tuple(e for e, _ in order))}
         sources = [core.source, *(j.source for j in core.joins)]
         out = ""
         for i, s in enumerate(sources):
@@ -443,7 +443,7 @@ class Compiler:
 
     def core(self, core: A.Core, scope: Scope, order=(), limit=None, offset=None, extra: list[str] | None = None) -> Compiled:
         """One SELECT with the ORDER BY and limits that are its own. extra: more columns for the memory layer."""
-        frm = self.from_sql(core, scope) if core.source else ""
+        frm = self.from_sql(core, scope, order) if core.source else ""
         grouped = bool(core.group) or any(has_aggregate(i.expr) for i in core.items) or has_aggregate(core.having) or any(has_aggregate(e) for e, _ in order)
         items = self.items(core, scope)
         if grouped and any(isinstance(i.expr, A.Star) for i in core.items):

@@ -562,6 +562,8 @@ def test_show(e):
     e.run("REMEMBER notes WHERE id = 3")
     top = e.sql("SHOW MEMORY FROM notes TOP 1").collect()[0]
     assert (top["_rid"], top["_strength"], top["_access_count"]) == (3, 4.0, 1) and top["row"].startswith("3 | taxes")
+    assert rows(e, "SELECT TOP 1 id FROM notes ORDER BY _strength DESC") == [(3,)]
+    assert rows(e, "SELECT n.id FROM notes n JOIN notes m ON n.id = m.id WHERE m._strength > 3") == [(3,)]
 
 
 def test_external_tables(spark, quiet):
