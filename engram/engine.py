@@ -166,12 +166,13 @@ class Engine:
                 view, columns = self.external[name.lower()]
                 return view, columns, False
             raise EngineError(f"unknown table '{name}'")
-        view = f"_engram_{abs(hash((id(self), name.lower())))}_{t['version']}_{int(stateful)}"
-        if stateful:
-            self.with_state(t).createOrReplaceTempView(view)
-        else:
-            self.storage.rows(t).createOrReplaceTempView(view)
-        return view, self.storage.kinds(t), True
+        return self.view_of(t, stateful), self.storage.kinds(t), True
+
+    def view_of(self, t: dict, stateful: bool) -> str:
+        """Temporary view over the segments of a table (or of a copy of its entry with some of them)."""
+        view = f"_engram_{abs(hash((id(self), t['name'].lower(), tuple(t['segments']))))}_{t['version']}_{int(stateful)}"
+        (self.with_state(t) if stateful else self.storage.rows(t)).createOrReplaceTempView(view)
+        return view
 
     def with_state(self, t: dict) -> DataFrame:
         """Rows with _strength (now), _access and _last."""
@@ -217,8 +218,7 @@ class Engine:
     current: dict = {}
 
     def update_relation(self, t: dict, exprs: list) -> str:
-        stateful = bool({n.lower() for e in exprs for n in names_in(e)} & set(STATEFUL))
-        return self.relation(t["name"], stateful)[0]
+        return self.view_of(t, bool({n.lower() for e in exprs for n in names_in(e)} & set(STATEFUL)))
 
     def matching(self, t: dict, where) -> DataFrame:
         """Rows (with _rid) that a condition holds for."""

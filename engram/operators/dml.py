@@ -188,8 +188,9 @@ class Dml:
         every = None
         for name, rids in gone.items():
             p = self.st.table(name)
-            kept = self.st.physical(p).join(rids, "_rid", "left_anti").select(*self.st.schema(p).names)
-            self.st.replace(p, [self.st.write(kept)])
+            hit, rest = self.st.split(p, rids)
+            kept = self.st.physical(p | {"segments": hit}).join(rids, "_rid", "left_anti").select(*self.st.schema(p).names)
+            self.st.replace(p, [*rest, self.st.write(kept)])
             p["rows"] = self.st.physical(p).count()
             every = rids if every is None else every.union(rids)
         self.e.forget_links(every)
@@ -217,7 +218,8 @@ class Dml:
             col = self.st.column(t, c)
             new_values[col["name"]] = S.store(self.e.value(e, t, "__u"), col["name"], col["type"], col["length"])
         cond = "true" if where is None else f"coalesce({self.e.condition(where, t, '__u')}, false)"
-        relation = self.e.update_relation(t, [e for _, e in sets] + ([where] if where is not None else []))
+        used = [e for _, e in sets] + ([where] if where is not None else [])
+        relation = self.e.update_relation(t, used)
         cols = []
         for c in t["columns"]:
             old = f"__u.{ident(c['name'])}"
@@ -229,9 +231,11 @@ class Dml:
         if not n:
             return 0
         before = self.st.rows(t)
-        segment = self.st.write(self.spark.sql(f"SELECT {', '.join(cols)} FROM {relation} AS __u"))
+        touched, rest = self.st.split(t, hit)
+        part = self.e.update_relation(t | {"segments": touched}, used)
+        segment = self.st.write(self.spark.sql(f"SELECT {', '.join(cols)} FROM {part} AS __u"))
         changed = set(names)
-        plan = {t["name"].lower(): t | {"segments": [segment]}}
+        plan = {t["name"].lower(): t | {"segments": [*rest, segment]}}
         self.cascade_update(t, before.join(hit, "_rid", "left_semi"), changed, plan)
         for name, nt in plan.items():
             whole = self.st.rows(nt)

@@ -122,6 +122,16 @@ class Storage:
     def kinds(self, t: dict) -> list[tuple[str, str]]:
         return [(c["name"], kind_of(c["type"])) for c in t["columns"]]
 
+    def split(self, t: dict, rids: DataFrame) -> tuple[list[str], list[str]]:
+        """(segments that hold any of the rows, all others); only the former need to be written anew."""
+        if len(t["segments"]) < 2:
+            return t["segments"], []
+        place = F.regexp_extract(F.col("_metadata.file_path"), "/tables/([0-9a-f]{32})/", 1)
+        files = self.spark.read.schema(self.schema(t)).parquet(*t["segments"]).select("_rid", place.alias("s"))
+        found = {r["s"] for r in files.join(rids.select("_rid").distinct(), "_rid", "left_semi").select("s").distinct().collect()}  # a name for each segment
+        hit = [d for d in t["segments"] if d.rsplit("/", 1)[1] in found]
+        return hit, [d for d in t["segments"] if d not in hit]
+
     def write(self, df: DataFrame) -> str:
         d = self.new_dir("tables")
         df.write.parquet(d)

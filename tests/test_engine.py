@@ -87,6 +87,18 @@ def test_update_delete_truncate(quiet):
     assert rows(e, "SELECT COUNT(*) FROM notes") == [(0,)]
 
 
+def test_only_touched_segments_are_rewritten(quiet):
+    e = quiet
+    e.run("CREATE TABLE t (a INT); INSERT INTO t VALUES (1), (2); INSERT INTO t VALUES (3); INSERT INTO t VALUES (4)")
+    before = list(e.storage.table("t")["segments"])
+    e.run("UPDATE t SET a = 30 WHERE a = 3; DELETE FROM t WHERE a = 1")
+    after = e.storage.table("t")["segments"]
+    assert before[2] in after and before[0] not in after and before[1] not in after and len(after) == 3
+    assert rows(e, "SELECT a FROM t ORDER BY a") == [(2,), (4,), (30,)]
+    e.run("UPDATE t SET a = a + 1")
+    assert rows(e, "SELECT a FROM t ORDER BY a") == [(3,), (5,), (31,)]
+
+
 def test_nothing_half_runs(quiet):
     e = quiet
     e.run(NOTES)
