@@ -27,9 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table
+from .common import bound_batches, held, table
 
-CACHE = 400_000
+CACHE = 150_000
 LONG = 64
 NONE = np.int64(1) << 40
 _SHIFT, _MULT = 20, np.uint64(0x9E3779B97F4A7C15)
@@ -175,16 +175,9 @@ class Bpe:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_made: dict[tuple, Bpe] = {}
-
-
 def _bpe(data: bytes, pattern: str) -> Bpe:
     """One coder for each worker process and rank file."""
-    key = (hash(data), pattern)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Bpe(data, pattern)
-    return _made[key]
+    return held(("bpe", hash(data), pattern), lambda: Bpe(data, pattern))
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, decoded: bool = False) -> DataFrame:

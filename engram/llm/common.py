@@ -2,26 +2,62 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: documents can be long, so batches stay small.
-BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 400
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run: sent once for each Spark context, as one small file."""
+    sc = spark.sparkContext
+    if getattr(sc, "_engram_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="engram-package-")) / "engram_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._engram_shipped = True
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep what a Python worker holds at once small and independent of the input size."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps between batches and tasks: one object at a time, so that workers which Spark
+    reuses for another operator don't hold the caches of the one before."""
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+        _held[key] = make()
+    return _held[key]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session: ``spark.checkpoint.dir``, an own one only where it is unset."""
     sc = spark.sparkContext

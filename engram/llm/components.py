@@ -10,13 +10,13 @@ from .common import cut_lineage
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut_lineage(down.groupBy("u").agg(F.min("v").alias("m")))
     return down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
 
 
@@ -24,7 +24,9 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, root) of every node that has an edge to another; root is the component's smallest node.
 
     Nodes can be of any orderable type. Edges that are null or loops are ignored. Every round is
-    cut off by a reliable checkpoint; a component of diameter d takes about log d rounds.
+    cut off by a reliable checkpoint; a component of diameter d takes about log d rounds. So are the least neighbours,
+    which are found by a partial aggregate: the join with them then starts from a shuffle of its own, whose partitions
+    adaptive execution can split where a hub has many edges.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct()
     e = cut_lineage(e)

@@ -28,15 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, held_out, table
+from .common import bound_batches, held, held_out, table
 
 ORDERS = (5, 4, 3, 2, 1)
 PER_LANGUAGE = 1500
-WORDS = 60_000
-GRAMS = 120_000
+WORDS = 40_000
+GRAMS = 80_000
 MAX_LANGUAGES = 256
 CACHE_BYTES = 48 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
+
+
+def _tuples(df: DataFrame) -> list[tuple]:
+    """Rows of a table of bounded size, by way of Arrow: lighter on the driver than row objects."""
+    return list(zip(*(c.to_pylist() for c in df.toArrow().columns), strict=True))
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, grams: int = GRAMS) -> dict:
@@ -53,7 +58,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, g
     counts = found.groupBy("lang", "w").agg(F.count("*").alias("c")).persist(StorageLevel.DISK_ONLY)
     try:
         total = {r["lang"]: (r["n"], r["k"]) for r in counts.groupBy("lang").agg(F.sum("c").alias("n"), F.count("*").alias("k")).collect()}
-        top = counts.orderBy(F.desc("c"), "lang", "w").limit(words).collect()
+        top = _tuples(counts.orderBy(F.desc("c"), "lang", "w").limit(words).select("lang", "w", "c"))
         marked = F.concat(F.lit("^"), "w", F.lit("$"))
         cut = [
             F.transform(
@@ -65,27 +70,27 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, g
         pieces = counts.select("lang", "c", F.inline(F.concat(*cut))).groupBy("lang", "n", "g").agg(F.sum("c").alias("c"))
         pieces = pieces.persist(StorageLevel.DISK_ONLY)
         sums = {(r["lang"], r["n"]): (r["s"], r["k"]) for r in pieces.groupBy("lang", "n").agg(F.sum("c").alias("s"), F.count("*").alias("k")).collect()}
-        kept = pieces.orderBy(F.desc("c"), "lang", "n", "g").limit(grams).collect()
+        kept = _tuples(pieces.orderBy(F.desc("c"), "lang", "n", "g").limit(grams).select("lang", "g", "c"))
         pieces.unpersist()
     finally:
         counts.unpersist()
     row = {lang: i for i, lang in enumerate(langs)}
 
-    def matrix(entries, key, mass):
+    def matrix(entries, mass):
         """Log frequency of every entry in every language; what a language lacks counts as half an occurrence."""
-        index = {k: i for i, k in enumerate(sorted({key(e) for e in entries}))}
+        index = {k: i for i, k in enumerate(sorted({k for _, k, _ in entries}))}
         m = np.empty((len(index), len(langs)), np.float32)
         for k, i in index.items():
             for lang, j in row.items():
                 n, kinds = mass(k, lang)
                 m[i, j] = math.log(0.5 / (n + 0.5 * kinds + 1))
-        for e in entries:
-            n, kinds = mass(key(e), e["lang"])
-            m[index[key(e)], row[e["lang"]]] = math.log((e["c"] + 0.5) / (n + 0.5 * kinds + 1))
+        for lang, k, c in entries:
+            n, kinds = mass(k, lang)
+            m[index[k], row[lang]] = math.log((c + 0.5) / (n + 0.5 * kinds + 1))
         return index, m
 
-    word_index, word_m = matrix(top, lambda e: e["w"], lambda _, lang: total.get(lang, (0, 0)))
-    gram_index, gram_m = matrix(kept, lambda e: e["g"], lambda g, lang: sums.get((lang, len(g)), (0, 0)))
+    word_index, word_m = matrix(top, lambda _, lang: total.get(lang, (0, 0)))
+    gram_index, gram_m = matrix(kept, lambda g, lang: sums.get((lang, len(g)), (0, 0)))
     return {"langs": langs, "words": (word_index, word_m), "grams": (gram_index, gram_m)}
 
 
@@ -147,9 +152,6 @@ class Scorer:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-_made: dict[int, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score of every whole text; only the text enters the prediction. doc_id can be of any type."""
     spark = docs.sparkSession
@@ -158,11 +160,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        key = id(shared.value)
-        if key not in _made:
-            _made.clear()
-            _made[key] = Scorer(shared.value) if shared.value["langs"] else None
-        scorer = _made[key]
+        model = shared.value
+        scorer = held(("langid", id(model)), lambda: Scorer(model) if model["langs"] else None)
         for b in batches:
             out = [scorer.text(t) if scorer else ("und", 0.0) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

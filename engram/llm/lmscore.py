@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table
+from .common import bound_batches, held, table
 
 WORDS, LEAST = 50_000, 3
 BUCKETS, SLICES = 1 << 20, 64
@@ -90,13 +90,8 @@ def bucket(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - 20)).astype(np.int64) & (BUCKETS - 1)
 
 
-_made: dict = {}
-
-
 def _vocabulary(words) -> Vocabulary:
-    if _made.get("of") is not words:
-        _made.update(of=words, v=Vocabulary(words))
-    return _made["v"]
+    return held(("vocabulary", id(words)), lambda: Vocabulary(words))
 
 
 def _cells(vocab_size: int) -> int:

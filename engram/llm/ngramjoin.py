@@ -35,16 +35,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut_lineage, table
+from .common import bound_batches, cut_lineage, held, table
 from .components import components
 
 WORDS, PERCENT = 4, 85
 BLOCK_SETS, BLOCK_GRAMS = 128, 1 << 17
+#: Documents' worth of n-grams that one range counts at once, about.
+RANGE_SETS = 2048
 #: Cells of the query-by-n-gram matrix that a tile holds at once.
 CELLS = 8 << 20
 #: Rows (of 16 bytes) up to which a list of dropped documents is broadcast.
 BROADCAST_ROWS = 500_000
-HASH_CACHE = 300_000
+HASH_CACHE = 150_000
 
 
 class WordHash(dict):
@@ -55,7 +57,6 @@ class WordHash(dict):
         return h
 
 
-_word_hash = WordHash()
 _M1, _M2, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
 
@@ -64,7 +65,7 @@ def ngrams(text: bytes | None, n: int) -> np.ndarray:
     words = text.lower().split() if text else []  # of bytes: ASCII only
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held("ngrams", WordHash).__getitem__, words), np.uint64, len(words))
     width = min(n, len(words))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - width + 1, width, np.uint64)
@@ -157,6 +158,7 @@ def sets_of(n: int, ranges: int):
 
 def count_range(t: pa.Table) -> pa.Table:
     """Frequencies over all sets of one range's n-grams; back go those in two sets or more."""
+    held("counts", dict)  # lets go of what the worker kept for other steps
     if t.column("to")[0].as_py() < 0:
         return t
     asks = [unpack(x, *_ASK) for x in t.column("body").to_pylist()]
@@ -323,7 +325,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     spark = docs.sparkSession
     bound_batches(spark)
     rows, ranges = docs.count(), 64
-    while ranges < 1 << 16 and ranges * 4096 < rows:
+    while ranges < 1 << 16 and ranges * RANGE_SETS < rows:
         ranges *= 2
     asked = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(sets_of(words, ranges), "to int, batch long, body binary")
     told = asked.groupBy("to").applyInArrow(count_range, "to int, batch long, body binary")
@@ -368,7 +370,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     and every row with an empty set. What goes is joined by (doc_id, text_hash), broadcast only if counted to be small."""
     rows = cut_lineage(jaccard_components(docs, words, percent))
     ranked = rows.where("component_key is not null").select("component_key", F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash").alias("s"))
-    first = ranked.groupBy("component_key").agg(F.min("s").alias("f"))
+    first = cut_lineage(ranked.groupBy("component_key").agg(F.min("s").alias("f")))  # the join below can then split a large component
     gone = ranked.join(first, "component_key").where(~F.col("s").eqNullSafe(F.col("f"))).select("s.doc_id", "s.text_hash").distinct()
     twice = ranked.groupBy("s").count().where("count > 1").select("s.doc_id", "s.text_hash")
 
