@@ -10,8 +10,8 @@ Value = tuple[str, str]
 
 
 def quote(s: str) -> str:
-    """A Spark string literal."""
-    body = s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r").replace("\x00", "\\u0000")
+    """A Spark string literal, safe from the session's variable substitution."""
+    body = s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r").replace("\x00", "\\u0000").replace("${", "\\u0024{")
     return f"'{body}'"
 
 

@@ -421,7 +421,7 @@ def ddl_alter_add_default(spark, sf_dir):
     return e.sql("SELECT id, status, extra FROM cust")
 
 
-@native("ddl_alter_type", "SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) AS nation FROM customer")
+@native("ddl_alter_type", "SELECT CAST(c_custkey AS INTEGER) AS id, CAST(c_nationkey AS VARCHAR) AS nation FROM customer")
 def ddl_alter_type(spark, sf_dir):
     e = _managed(spark, sf_dir, "customer")
     e.run(_FILL + "; ALTER TABLE cust ALTER COLUMN nation NVARCHAR(4); ALTER TABLE cust ALTER COLUMN id TYPE INT")

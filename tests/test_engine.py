@@ -206,6 +206,16 @@ def test_expressions(quiet, expr, value):
     assert got == value and type(got) is type(value)
 
 
+def test_text_goes_through_unchanged(quiet):
+    e = quiet
+    e.run("CREATE TABLE t (s NVARCHAR(MAX))")
+    for text in ["${spark:spark.app.name} $x", "a\\b\\n", 'say "x"', "it''s", "tab\tnew\nline", "%_", "\u00e9\u4e2d\U0001f600", "-- no comment"]:
+        e.run(f"TRUNCATE TABLE t; INSERT INTO t VALUES ('{text}')")
+        want = text.replace("''", "'")
+        assert rows(e, "SELECT s FROM t") == [(want,)] == rows(e, f"SELECT '{text}'")
+        assert rows(e, f"SELECT COUNT(*) FROM t WHERE s = '{text}'") == [(1,)]
+
+
 def test_expression_errors(quiet):
     for expr, part in [
         ("1 / 0", "division by zero"), ("1 % 0", "division by zero"), ("SQRT(-1)", "negative"), ("LEFT('a', -1)", "negative length"), ("SUBSTRING('a', 1, -1)", "negative length"), ("CAST(300 AS TINYINT)", "out of range"),
