@@ -1,11 +1,11 @@
 """N-gram Jaccard join by prefix trees.
 
-A document's set holds its distinct word n-grams (64-bit hashes). All sets share one global order,
+A document's set holds its distinct word n-grams (hashes of 54 bits at least, 64 for large inputs). All sets share one global order,
 rare n-grams first. Two sets that reach the threshold share an n-gram among the first
 ``size - ceil(t * size) + 1`` of each (the prefix); an n-gram in one set only can be no such n-gram.
 
 1. *Frequencies.* One pass over the texts makes the sets, batch by batch. N-grams go to ranges of the
-   hash space in packed arrays (8 bytes each, once per batch), are counted there, and only those in
+   hash space in packed arrays (6 bytes each, once per batch; the range tells the other bits), are counted there, and only those in
    two sets or more come back to their batch, with their frequency. A set with too few of them for
    the threshold can have no partner and ends here.
 2. *Blocks.* Sets that share a prefix n-gram are connected; components are the blocks. No pairs are made.
@@ -60,8 +60,12 @@ class WordHash(dict):
 _M1, _M2, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
 
-def ngrams(text: bytes | None, n: int) -> np.ndarray:
-    """Sorted distinct n-gram hashes of a UTF-8 text; words are runs of other than \\x20 \\x09-\\x0D, A-Z lower-cased."""
+#: Low bits of a hash that travel; its high bits are the number of the range it travels to.
+LOW = 48
+
+
+def ngrams(text: bytes | None, n: int, keep: int = -1) -> np.ndarray:
+    """Sorted distinct n-gram hashes (their bits in ``keep``) of a UTF-8 text; words are runs of other than \\x20 \\x09-\\x0D, A-Z lower-cased."""
     words = text.lower().split() if text else []  # of bytes: ASCII only
     if not words:
         return np.empty(0, np.uint64)
@@ -74,7 +78,19 @@ def ngrams(text: bytes | None, n: int) -> np.ndarray:
             out ^= out >> _S
             out *= _M2
             out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return np.unique(out if keep < 0 else out & np.uint64(keep))
+
+
+def short(tokens: np.ndarray) -> np.ndarray:
+    """The LOW bits of each, six bytes apiece."""
+    return np.ascontiguousarray(tokens.astype("<u8").view("u1").reshape(-1, 8)[:, : LOW // 8]).reshape(-1)
+
+
+def whole(packed: np.ndarray, to: int, bits: int) -> np.ndarray:
+    """What ``short`` packed for range ``to`` of 2^bits."""
+    out = np.zeros((len(packed) // (LOW // 8), 8), "u1")
+    out[:, : LOW // 8] = packed.reshape(-1, LOW // 8)
+    return out.reshape(-1).view("<u8") | (np.uint64(to) << np.uint64(64 - bits))
 
 
 def least_shared(size, percent: int):
@@ -103,20 +119,22 @@ def spread(tokens: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 _HEAD = ("i8", "u1", "i8", "u4", "V16", "u1", "u4", "u8")
-_ASK = ("u4", "u8", "u4", "u8")
-_TELL = ("u4", "u8", "u4", "u4")
+_ASK = ("u4", "u1", "u4", "u1")
+_TELL = ("u4", "u1", "u4", "u4")
 
 
 def sets_of(n: int, ranges: int):
     """Rows (to, batch, body): to >= 0 asks a range for frequencies, to < 0 carries the batch itself."""
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
+    bits = ranges.bit_length() - 1
+    shift = np.uint64(64 - bits)
+    keep = ((1 << bits) - 1) << (64 - bits) | ((1 << LOW) - 1)
 
     def run(batches):
         seen: set[bytes] = set()  # classes of this partition
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         for seq, b in enumerate(batches):
             ids = b.column(0)
-            sets = [ngrams(t, n) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            sets = [ngrams(t, n, keep) for t in b.column(1).cast(pa.binary()).to_pylist()]
             sizes = np.array([len(s) for s in sets], "<u4")
             keys = np.zeros(len(sets), "V16")
             first = np.zeros(len(sets), "u1")
@@ -147,7 +165,7 @@ def sets_of(n: int, ranges: int):
                 i, j, p, q = e1[k], e1[k + 1], e2[k], e2[k + 1]
                 if i < j or p < q:
                     ts, ns = spread(t1[i:j], o1[i:j], len(sets))
-                    rows.append((k, batch, pack(ns, ts, c2[p:q], k2[p:q])))
+                    rows.append((k, batch, pack(ns, short(ts), c2[p:q], short(k2[p:q]))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
                 ["to", "batch", "body"],
@@ -162,6 +180,7 @@ def count_range(t: pa.Table) -> pa.Table:
     if t.column("to")[0].as_py() < 0:
         return t
     asks = [unpack(x, *_ASK) for x in t.column("body").to_pylist()]
+    asks = [(ns, whole(ts, 0, 1), cs, whole(ks, 0, 1)) for ns, ts, cs, ks in asks]  # in one range the low bits tell all
     tokens = np.concatenate([x for a in asks for x in (a[1], a[3])])
     weight = np.concatenate([x for a in asks for x in (np.ones(len(a[1])), a[2])])
     _, inverse = np.unique(tokens, return_inverse=True)
@@ -172,7 +191,7 @@ def count_range(t: pa.Table) -> pa.Table:
         at += len(ts) + len(ks)
         keep = d1 > 1
         own = np.bincount(np.repeat(np.arange(len(ns)), ns)[keep], minlength=len(ns)).astype("<u4")
-        out.append(pack(own, ts[keep], d1[keep], d2))
+        out.append(pack(own, short(ts[keep]), d1[keep], d2))
     return pa.table({"to": t.column("to"), "batch": t.column("batch"), "body": pa.array(out, pa.binary())})
 
 
@@ -180,14 +199,15 @@ SET_SCHEMA = "doc_id long, text_hash long, n long, k binary, tokens binary, pref
 _SET_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
-def assemble(percent: int):
+def assemble(percent: int, ranges: int):
     """All documents of a batch; those that may have a partner with their shareable n-grams, frequent ones first."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = sorted(zip(t.column("to").to_pylist(), t.column("body").to_pylist(), strict=True), key=lambda r: r[0])
         ids, valid, hashes, sizes, keys, first, n2, t2 = unpack(rows[0][1], *_HEAD)
         docs = np.arange(len(ids))
-        tells = [unpack(body, *_TELL) for _, body in rows[1:]]
+        bits = ranges.bit_length() - 1
+        tells = [(ns, whole(ts, to, bits), d1, d2) for to, (ns, ts, d1, d2) in ((to, unpack(body, *_TELL)) for to, body in rows[1:])]
         kinds = np.unique(t2)
         df2 = np.concatenate([x[3] for x in tells]) if tells else np.empty(0, "u4")  # ranges ascend, and so do n-grams
         owner = np.concatenate([np.repeat(docs, n2), *(np.repeat(docs, x[0]) for x in tells)])
@@ -329,7 +349,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         ranges *= 2
     asked = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(sets_of(words, ranges), "to int, batch long, body binary")
     told = asked.groupBy("to").applyInArrow(count_range, "to int, batch long, body binary")
-    every = cut_lineage(told.groupBy("batch").applyInArrow(assemble(percent), SET_SCHEMA))
+    every = cut_lineage(told.groupBy("batch").applyInArrow(assemble(percent, ranges), SET_SCHEMA))
     classes = every.where("n > 0").groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
 
     hopeful = every.where(F.col("tokens").isNotNull())
