@@ -600,7 +600,6 @@ class Engine:
         if self.storage.stack:
             raise EngineError("VACUUM can't run in a transaction")
         st = self.storage
-        old = [d for t in st.catalog["tables"].values() for d in t["segments"]] + st.catalog["log"] + st.catalog["links"]
         log = st.log()
         for t in st.catalog["tables"].values():
             rows = st.physical(t)
@@ -621,9 +620,7 @@ class Engine:
             for name in t["indexes"]:
                 self.build_index(t, name)
         st.save()
-        for d in old:
-            st.remove(d)
-        st.remove(f"{st.path}/tmp")
+        st.sweep()
         return Result(message="vacuum complete")
 
     # memory

@@ -22,6 +22,8 @@ from ..functions.scalar import SPARK_TYPES, kind_of
 SYSTEM = [("_rid", "bigint"), ("_s0", "double"), ("_a0", "bigint"), ("_l0", "double")]
 LOG_SCHEMA = "_rid bigint, ts double, seq bigint, kind string, boost double"
 LINK_SCHEMA = "a bigint, b bigint, w double"
+#: Segments of the log or the links beyond which they are merged.
+MAX_SEGMENTS = 64
 EMPTY = {"next_rid": 1, "seq": 0, "tables": {}, "views": {}, "procs": {}, "log": [], "links": []}
 
 
@@ -160,6 +162,23 @@ class Storage:
         return self.spark.read.schema(schema).parquet(*dirs)
 
     def append(self, kind: str, df: DataFrame):
+        """One more segment of the log or the links; many small ones are merged."""
         d = self.new_dir(kind)
         df.write.parquet(d)
         self.catalog[kind].append(d)
+        if len(self.catalog[kind]) > MAX_SEGMENTS:
+            merged = self.new_dir(kind)
+            self._segments(kind, LOG_SCHEMA if kind == "log" else LINK_SCHEMA).write.parquet(merged)  # small files are read packed together
+            self.catalog[kind] = [merged]
+
+    def sweep(self):
+        """Deletes directories that the manifest does not name."""
+        c = self.catalog
+        named = [*c["log"], *c["links"], *(d for t in c["tables"].values() for d in t["segments"]), *(x["dir"] for t in c["tables"].values() for x in t["indexes"].values())]
+        keep = {d.rsplit("/", 1)[1] for d in named}
+        for kind in ("tables", "log", "links", "index", "tmp"):
+            fs, p = self._fs(f"{self.path}/{kind}")
+            if fs.exists(p):
+                for f in fs.listStatus(p):
+                    if f.getPath().getName() not in keep:
+                        fs.delete(f.getPath(), True)

@@ -528,6 +528,21 @@ def test_decay_and_reinforcement(e, clock):
     assert strength(e, "t") == [0.5]
 
 
+def test_log_segments_are_merged_and_swept(e, clock, monkeypatch, tmp_path):
+    from engram.sources import storage
+
+    monkeypatch.setattr(storage, "MAX_SEGMENTS", 3)
+    e.run("CREATE TABLE t (id INT); INSERT INTO t VALUES (1), (2)")
+    for _ in range(5):
+        e.sql("SELECT * FROM t").collect()
+    assert len(e.storage.catalog["log"]) <= 3 and len(e.storage.catalog["links"]) <= 3
+    assert strength(e, "t ORDER BY id") == [6.0, 6.0] and [round(r["w"], 6) for r in e.links().collect()] == [1.5]
+    e.run("VACUUM")
+    assert strength(e, "t ORDER BY id") == [6.0, 6.0] and [round(r["w"], 6) for r in e.links().collect()] == [1.5]
+    left = {k: len(list((tmp_path / "db" / k).iterdir())) for k in ("tables", "log", "links", "tmp") if (tmp_path / "db" / k).exists()}
+    assert left["tables"] == 1 and left["log"] == 0 and left["links"] == 1 and left.get("tmp", 0) == 0
+
+
 def test_strength_has_a_ceiling(e, clock):
     e.run("CREATE TABLE t (id INT); INSERT INTO t VALUES (1), (2)")
     rids = e.storage.rows(e.storage.table("t")).where("id = 1").select("_rid")
