@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held, table
+from .common import bound_batches, held, spread_out, table
 
 CACHE = 150_000
 LONG = 64
@@ -198,7 +198,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, decoded: bool = False)
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     schema = f"doc_id {id_type.simpleString()}, ids binary" + ", decoded binary" * decoded
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return spread_out(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:

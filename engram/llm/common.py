@@ -42,6 +42,13 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than there are cores (one small file, say) is dealt out over all of them, so that
+    work on each text doesn't wait for one core. Larger tables, which have more partitions, stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df._jdf.rdd().getNumPartitions() < cores else df
+
+
 _held: dict = {}
 
 

@@ -21,7 +21,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, table
+from .common import bound_batches, spread_out, table
 
 DEPTH, PAD, MAX_SPAN = 200, 40, 1000
 _TOKEN = re.compile(
@@ -471,7 +471,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(html_text, b.column(1).to_pylist()), pa.string(), size=b.num_rows)], ["page_id", "text"])
 
-    return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, text string")
+    return spread_out(pages.select("page_id", "html")).mapInArrow(run, f"page_id {kind}, text string")
 
 
 def op6_html(spark, sf_dir):

@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held, table
+from .common import bound_batches, held, spread_out, table
 
 WORDS, LEAST = 50_000, 3
+#: Longer words (bytes) are unknown words, so that the vocabulary has a bound in bytes as well.
+LONGEST = 64
 BUCKETS, SLICES = 1 << 20, 64
 FLUSH = 300_000
 #: Pseudo-counts: of a word in the unigram model, and of the unigram model behind a history.
@@ -41,7 +43,7 @@ def _count_words(batches):
     """Partial counts; the table is sent on whenever it gets large."""
 
     def rows(c: Counter):
-        keys = list(c)
+        keys = [w for w in c if len(w) <= LONGEST]
         for k in range(0, len(keys), 20_000):
             part = keys[k : k + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([c[x] for x in part], pa.int64())], ["w", "c"])
@@ -57,7 +59,7 @@ def _count_words(batches):
 
 
 def vocabulary(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> list[bytes]:
-    counts = docs.select("text").mapInArrow(_count_words, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    counts = spread_out(docs.select("text")).mapInArrow(_count_words, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
     return [bytes(r["w"]) for r in counts.where(F.col("c") >= least).orderBy(F.desc("c"), "w").limit(words).select("w").collect()]
 
 
@@ -192,7 +194,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     schema = f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return spread_out(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def op8_lm_score(spark, sf_dir):

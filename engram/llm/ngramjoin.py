@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut_lineage, held, table
+from .common import bound_batches, cut_lineage, held, spread_out, table
 from .components import components
 
 WORDS, PERCENT = 4, 85
@@ -347,7 +347,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     rows, ranges = docs.count(), 64
     while ranges < 1 << 16 and ranges * RANGE_SETS < rows:
         ranges *= 2
-    asked = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(sets_of(words, ranges), "to int, batch long, body binary")
+    asked = spread_out(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"))).mapInArrow(sets_of(words, ranges), "to int, batch long, body binary")
     told = asked.groupBy("to").applyInArrow(count_range, "to int, batch long, body binary")
     every = cut_lineage(told.groupBy("batch").applyInArrow(assemble(percent, ranges), SET_SCHEMA))
     classes = every.where("n > 0").groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
