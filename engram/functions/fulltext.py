@@ -168,14 +168,15 @@ def positives(tree) -> list[str]:
     return list(dict.fromkeys(positives(tree[1]) + positives(tree[2])))
 
 
-def rank(array_sql: str, tree) -> str:
-    """ts_rank: sum of 1 / (1 + position) over all positions of positive lexemes. ``array_sql`` has lexemes by position."""
+def rank_text(sql: str, tree) -> str:
+    """ts_rank of a text: sum of 1 / (1 + position) over all positions of positive lexemes, in one pass over its words."""
     words = positives(tree)
     if not words:
-        return f"IF({array_sql} IS NULL, NULL, CAST(0 AS DOUBLE))"
-    those = "array(" + ", ".join(map(quote, words)) + ")"
-    terms = f"transform({array_sql}, (w, i) -> IF(array_contains({those}, w), 1D / (2 + i), 0D))"
-    return f"aggregate({terms}, 0D, (s, x) -> s + x)"
+        return f"IF({sql} IS NULL, NULL, CAST(0 AS DOUBLE))"
+    stop, those = (", ".join(map(quote, ws)) for ws in (STOP_WORDS, words))
+    tokens = f"transform(regexp_extract_all({sql}, '[A-Za-z0-9_]+', 0), w -> left(lower(w), {MAX_LEXEME}))"
+    step = f"IF(w IN ({stop}), a, named_struct('p', a.p + 1, 's', IF(w IN ({those}), a.s + 1D / (2 + a.p), a.s)))"
+    return f"aggregate({tokens}, named_struct('p', 0, 's', 0D), (a, w) -> {step}, a -> a.s)"
 
 
 def rank_stored(sql: str, tree) -> str:

@@ -315,7 +315,7 @@ class Compiler:
             tree = self.text_query(e.args[1], scope)
             vec = e.args[0]
             if isinstance(vec, A.Func) and vec.name == "TO_TSVECTOR":
-                return FT.rank(FT.lexeme_array(S.as_text(self.expr(vec.args[0], scope))), tree), "float"
+                return FT.rank_text(S.as_text(self.expr(vec.args[0], scope)), tree), "float"
             return FT.rank_stored(S.as_text(self.expr(vec, scope)), tree), "float"
         return S.call(e.name, [self.expr(a, scope) for a in e.args])
 
