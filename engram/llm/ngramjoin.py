@@ -44,7 +44,7 @@ BLOCK_SETS, BLOCK_GRAMS = 128, 1 << 17
 RANGE_SETS = 2048
 #: Cells of the query-by-n-gram matrix that a tile holds at once.
 CELLS = 8 << 20
-#: Rows (of 16 bytes) up to which a list of dropped documents is broadcast.
+#: Rows (of about 40 bytes) up to which a list of dropped documents or of blocks is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 HASH_CACHE = 150_000
 
@@ -361,7 +361,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sets = sets.dropDuplicates(["k"]).join(classes.select("k", "copies"), "k")
     sets = cut_lineage(sets.select("block", "k", "n", "copies", "tokens"))
     size = sets.groupBy("block").agg(F.count("*").alias("c"), F.sum(F.octet_length("tokens") / 8).alias("g"))
-    size = size.select("block", F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("g") / BLOCK_GRAMS)).alias("chunks"))
+    size = cut_lineage(size.select("block", F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("g") / BLOCK_GRAMS)).alias("chunks")))
+    if size.count() <= BROADCAST_ROWS:  # then no large block has to pass through one task
+        size = F.broadcast(size)
     dealt = sets.join(size, "block").withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     tiles = dealt.withColumns({"a": F.least("chunk", "o"), "b": F.greatest("chunk", "o")})
