@@ -267,3 +267,22 @@ def test_lm_odd_rows(spark):
     empty = lmscore.fit(docs.limit(0), labels)
     assert lmscore.score(docs.limit(0), empty).count() == 0
     assert all(np.isfinite(r["score"]) for r in lmscore.score(docs, lmscore.fit(docs, labels.limit(0))).collect() if r["n_tokens"])
+
+
+def test_lm_counts_are_exact_and_the_floor_alone_cuts(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    # words enough that any fixed number of cells or words is too small
+    rows += [(10**6 + i, " ".join(f"v{i}x{k}" for k in range(2000) for _ in range(3))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1} | {10**6}
+    labels = labels.select("doc_id", "quality").union(spark.createDataFrame([(10**6, 1)], "doc_id long, quality int"))
+    got = {r["doc_id"]: r for r in lmscore.score(docs, lmscore.fit(docs, labels)).collect()}
+    want = brute_scores(rows, good, None, 3)
+    assert len({w for _, t in rows for w in (t or "").encode().lower().split()}) > 50_000 and set(got) == set(want)
+    for d, (n, t, b) in want.items():
+        assert got[d]["n_tokens"] == n
+        if n:
+            assert abs(got[d]["target_loss"] - t) < 1e-9 and abs(got[d]["background_loss"] - b) < 1e-9
+        else:
+            assert got[d]["score"] is None
