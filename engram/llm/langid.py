@@ -175,9 +175,14 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_recognised(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language can be told at all, by a model of their own labels."""
+    """The rows of docs whose text has a letter, so that its language can be told by a model of their own labels. Without
+    labels to learn from, all such rows stay as well."""
     whole = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
-    return predict(whole, fit(docs)).where("lang_pred != 'und'").select("doc_id.*")
+    model = fit(docs)
+    if not model["langs"]:
+        none = {}, np.zeros((0, 1), np.float32)
+        model = {"langs": ["unknown"], "words": none, "grams": none}
+    return predict(whole, model).where("lang_pred != 'und'").select("doc_id.*")
 
 
 def op3_langid(spark, sf_dir):

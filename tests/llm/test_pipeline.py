@@ -69,3 +69,9 @@ def test_keep_one_without_ids(spark):
     docs = spark.createDataFrame([(None, text), (None, text + " x"), (None, text), (7, "other words in here"), (7, text)], "doc_id long, text string")
     got = [(r["doc_id"], hashlib.md5(r["text"].encode()).hexdigest()) for r in ngramjoin.keep_one(docs).collect()]
     assert sorted(x for x, _ in got) == [7, 7] and len(set(got)) == 2
+
+
+def test_language_id_stage_keeps_lettered_texts_without_labels(spark):
+    rows = [(1, "plain words here", None), (2, "Été", None), (3, "12 !", None), (4, "", None), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [1, 2]
