@@ -31,6 +31,11 @@ from .plans.procedures import Frame, Interpreter
 from .sources.storage import Storage
 
 
+POSTINGS = "lexeme string, rid bigint"
+#: Statements after which the catalog is as it was.
+READS = ("select", "explain", "print", "begin", "commit", "rollback", "show_tables", "show_memory", "show_links")
+
+
 @dataclass
 class Result:
     """What one statement gave: rows, or a message."""
@@ -184,25 +189,36 @@ class Engine:
         return rows.join(state, "_rid")
 
     def postings(self, table: str, column: str) -> str | None:
-        """View of an up-to-date inverted index of a column; rebuilt if the table has changed."""
+        """View of the inverted index of a column, brought up to date."""
         t = self.storage.table(table)
         for name, x in t["indexes"].items():
             if x["column"].lower() == column.lower():
-                if x["version"] != t["version"]:
-                    self.build_index(t, name)
+                self.refresh_index(t, name)
                 view = f"_engram_idx_{abs(hash((id(self), table.lower(), name)))}"
-                self.spark.read.parquet(x["dir"]).createOrReplaceTempView(view)
+                parts = list(x["parts"].values())
+                found = self.spark.read.schema(POSTINGS).parquet(*parts) if parts else self.spark.createDataFrame([], POSTINGS)
+                found.createOrReplaceTempView(view)
                 return view
         return None
 
-    def build_index(self, t: dict, name: str):
+    def refresh_index(self, t: dict, name: str):
+        """Postings are kept by segment, and segments never change: only new segments are read, gone ones are let go."""
         x = t["indexes"][name]
-        rows = self.storage.rows(t)
-        words = F.expr(f"array_distinct({FT.lexeme_array(ident(self.storage.column(t, x['column'])['name']))})")
-        d = self.storage.new_dir("index")
-        postings = rows.select(F.explode(words).alias("lexeme"), F.col("_rid").alias("rid"))
-        postings.repartition("lexeme").sortWithinPartitions("lexeme").write.parquet(d)  # row groups by lexeme, so a look-up skips most
-        x |= {"dir": d, "version": t["version"]}
+        new = [s for s in t["segments"] if s not in x["parts"]]
+        parts = {s: d for s, d in x["parts"].items() if s in t["segments"]}
+        for s in new:
+            rows = self.storage.rows(t | {"segments": [s]})
+            words = F.expr(f"array_distinct({FT.lexeme_array(ident(self.storage.column(t, x['column'])['name']))})")
+            postings = rows.select(F.explode(words).alias("lexeme"), F.col("_rid").alias("rid"))
+            d = self.storage.new_dir("index")
+            postings.repartition("lexeme").sortWithinPartitions("lexeme").write.parquet(d)  # row groups by lexeme, so a look-up skips most
+            parts[s] = d
+        x["parts"] = parts
+
+    def refresh_indexes(self):
+        for t in self.storage.catalog["tables"].values():
+            for name in t["indexes"]:
+                self.refresh_index(t, name)
 
     # --- expressions over one table
 
@@ -248,16 +264,31 @@ class Engine:
             r = method(s, frame)
         finally:
             self.current = before
-        if s.kind not in ("select", "explain", "print", "begin", "commit", "rollback", "show_tables", "show_memory", "show_links"):
+        if s.kind not in READS:
+            self.refresh_indexes()
             self.storage.save()
         return r if isinstance(r, list) else [r]
 
     # queries
 
     def captured(self, q: A.Select, variables: dict) -> DataFrame:
-        """A query's rows without reinforcement."""
+        """A query's rows for a cursor: touched, not associated."""
+        if self._plain(q) and self._remembered(q) is not None:
+            self.touch(self._read_rows(q, variables), M.BOOST)
+            self.storage.save()
         return self.spark.sql(Compiler(self, variables).select(q, Scope()).sql)
 
+    @staticmethod
+    def _plain(q: A.Select) -> bool:
+        """Whether each row of the result is a row of the first table."""
+        return isinstance(q.first, A.Core) and not (q.first.group or q.first.distinct or any(has_aggregate(i.expr) for i in q.first.items))
+
+    def _read_rows(self, q: A.Select, variables: dict) -> DataFrame:
+        """_rid of the first table's rows in the order of the result; other columns are not computed."""
+        alias = q.first.source.alias or q.first.source.table
+        df = self.spark.sql(Compiler(self, variables).select(q, Scope(), [f"{ident(alias)}._rid AS __rid"]).sql)
+        return df.select(F.col("__rid").alias("_rid")).where("_rid IS NOT NULL")
+
     def do_select(self, s: A.Statement, frame: Frame) -> Result:
         q = s.query
         table = self._remembered(q)
@@ -265,19 +296,17 @@ class Engine:
         if table is None:
             return Result(self.spark.sql(comp.select(q, Scope()).sql))
         core = q.first
-        alias = core.source.alias or core.source.table
-        grouped = bool(core.group) or any(has_aggregate(i.expr) for i in core.items)
-        if grouped or core.distinct:
-            df = self.spark.sql(comp.select(q, Scope()).sql)
-            if core.group:
-                self._reinforce_groups(q, alias)
+        df = self.spark.sql(comp.select(q, Scope()).sql)
+        if not self._plain(q):
+            if core.group and not core.distinct:
+                self._reinforce_groups(q, core.source.alias or core.source.table)
             return Result(df)
-        df = self.spark.sql(comp.select(q, Scope(), [f"{ident(alias)}._rid AS __rid"]).sql).persist()
-        self.touch(df.where("__rid IS NOT NULL").select(F.col("__rid").alias("_rid")), M.BOOST)
+        read = self._read_rows(q, self.current)
+        self.touch(read, M.BOOST)
         if not core.joins:
-            self.associate([r[0] for r in df.select("__rid").limit(M.CO_ACCESS).collect()])
+            self.associate([r[0] for r in read.limit(M.CO_ACCESS).collect()])
         self.storage.save()
-        return Result(df.drop("__rid"))
+        return Result(df)
 
     def _remembered(self, q: A.Select) -> dict | None:
         """The managed table whose rows a query reads first, if reads are remembered."""
@@ -307,7 +336,7 @@ class Engine:
         self.touch(first.select("_rid"), M.BOOST)
         pairs = OM.co_access(first, by, "_rid", ["_n"])
         if pairs.limit(1).count():
-            self.storage.append("links", pairs)
+            self.storage.append("links", pairs, self._merged_links)
         self.storage.save()
 
     def do_explain(self, s: A.Statement, frame: Frame) -> Result:
@@ -348,20 +377,13 @@ class Engine:
 
     def do_insert_select(self, s: A.Statement, frame: Frame) -> Result:
         t = self.storage.table(s.table)
-        read = self._remembered(s.query)
-        if read is not None and not (s.query.first.group or s.query.first.distinct or any(has_aggregate(i.expr) for i in s.query.first.items)):
-            core = s.query.first
-            alias = core.source.alias or core.source.table
-            df = self.storage.stage(self.spark.sql(Compiler(self, self.current).select(s.query, Scope(), [f"{ident(alias)}._rid AS __rid"]).sql).toDF(*[f"c{i}" for i in range(self._width(s.query))], "__rid"))
-            n = self.dml.insert(t, s.columns, df.drop("__rid"))
-            self.touch(df.where("__rid IS NOT NULL").select(F.col("__rid").alias("_rid")), M.BOOST)
-        else:
-            n = self.dml.insert(t, s.columns, self.captured(s.query, self.current))
+        source = self.spark.sql(Compiler(self, self.current).select(s.query, Scope()).sql)
+        read = self._read_rows(s.query, self.current) if self._plain(s.query) and self._remembered(s.query) is not None else None
+        n = self.dml.insert(t, s.columns, source)
+        if read is not None:
+            self.touch(read, M.BOOST)
         return Result(message=rows_text(n, "inserted"))
 
-    def _width(self, q: A.Select) -> int:
-        return len(Compiler(self, self.current).select(q, Scope()).names)
-
     def do_insert_exec(self, s: A.Statement, frame: Frame) -> Result:
         inner = self.interpreter.call(s.call, frame) if s.call.kind == "call" else self.interpreter.dynamic(s.call, frame)
         first = next((r.df for r in inner if r.df is not None), None)
@@ -566,8 +588,7 @@ class Engine:
             raise EngineError("a GIN index needs a text column")
         if any(s.name.lower() in x["indexes"] for x in self.storage.catalog["tables"].values()):
             raise EngineError(f"index '{s.name}' already exists")
-        t["indexes"][s.name.lower()] = {"column": c["name"], "dir": None, "version": -1}
-        self.build_index(t, s.name.lower())
+        t["indexes"][s.name.lower()] = {"column": c["name"], "parts": {}}
         return Result(message=f"index '{s.name}' created")
 
     def do_drop_index(self, s: A.Statement, frame: Frame) -> Result:
@@ -610,15 +631,10 @@ class Engine:
             folded = rows.drop("_s0", "_a0", "_l0").join(state, "_rid")
             folded = folded.withColumnsRenamed({"strength": "_s0", "access_count": "_a0", "last": "_l0"}).select(*st.schema(t).names)
             st.replace(t, [st.write(folded)])
-        links = self.links()
-        if links.count() > 0.7 * M.LINK_CAP:
-            links = OM.prune(links)
         kept = st.new_dir("links")
-        links.write.parquet(kept)
+        self._merged_links(st.links_raw()).write.parquet(kept)
         st.catalog["links"], st.catalog["log"] = [kept], []
-        for t in st.catalog["tables"].values():
-            for name in t["indexes"]:
-                self.build_index(t, name)
+        self.refresh_indexes()
         st.save()
         st.sweep()
         return Result(message="vacuum complete")
@@ -635,11 +651,20 @@ class Engine:
         rids = list(dict.fromkeys(r for r in rids if r))[: M.CO_ACCESS]
         pairs = [(min(a, b), max(a, b), M.LINK_BOOST) for i, a in enumerate(rids) for b in rids[:i]]
         if pairs:
-            self.storage.append("links", self.spark.createDataFrame(pairs, "a bigint, b bigint, w double").coalesce(1))
+            self.storage.append("links", self.spark.createDataFrame(pairs, "a bigint, b bigint, w double").coalesce(1), self._merged_links)
+
+    @staticmethod
+    def _summed(raw: DataFrame) -> DataFrame:
+        return raw.groupBy("a", "b").agg(F.least(F.lit(M.LINK_MAX), F.sum("w")).alias("w"))
 
     def links(self) -> DataFrame:
         """a, b, w of all associations."""
-        return self.storage.links_raw().groupBy("a", "b").agg(F.least(F.lit(M.LINK_MAX), F.sum("w")).alias("w"))
+        return self._summed(self.storage.links_raw())
+
+    def _merged_links(self, raw: DataFrame) -> DataFrame:
+        """Changes of links as one table of links, weakened and thinned out when there are many."""
+        links = self.storage.stage(self._summed(raw))
+        return OM.prune(links) if links.count() > M.PRUNE_FROM * M.LINK_CAP else links
 
     def forget_links(self, rids: DataFrame):
         if not self.storage.catalog["links"]:

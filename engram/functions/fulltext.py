@@ -39,12 +39,18 @@ def stored_array(sql: str) -> str:
 
 
 def vector_text(sql: str) -> str:
-    """to_tsvector: ``lexeme:positions`` in order of first use."""
-    words = lexeme_array(sql)
-    # one pass gives (lexeme, position); grouping keeps the order of first use
-    pairs = f"transform({words}, (w, i) -> named_struct('w', w, 'p', i + 1))"
-    entry = f"transform(array_distinct(transform(ps, x -> x.w)), l -> concat(l, ':', array_join(transform(filter(ps, x -> x.w = l), x -> CAST(x.p AS STRING)), ',')))"
-    return f"array_join(element_at(transform(array({pairs}), ps -> {entry}), 1), ' ')"
+    """to_tsvector: ``lexeme:positions`` in order of first use. One sort of (lexeme, position) makes runs of one lexeme, a
+    second one puts the runs in order of their first position: n log n in the words of a text."""
+
+    def let(value: str, name: str, body: str) -> str:
+        return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+    sorted_pairs = f"sort_array(transform({lexeme_array(sql)}, (w, i) -> named_struct('w', w, 'p', i + 1)))"
+    starts = "filter(sequence(0, size(ps)), k -> k = 0 OR k = size(ps) OR ps[k].w <> ps[k - 1].w)"  # and the end
+    places = "array_join(transform(slice(ps, k + 1, ks[j + 1] - k), x -> CAST(x.p AS STRING)), ',')"
+    runs = f"transform(slice(ks, 1, size(ks) - 1), (k, j) -> named_struct('p', ps[k].p, 't', concat(ps[k].w, ':', {places})))"
+    joined = f"array_join(transform(sort_array({let(starts, 'ks', runs)}), x -> x.t), ' ')"
+    return let(sorted_pairs, "ps", f"IF(size(ps) > 0, {joined}, IF(ps IS NULL, NULL, ''))")
 
 
 # --- queries: trees of ('lex', word), ('and', l, r), ('or', l, r), ('not', x); None matches nothing

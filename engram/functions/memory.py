@@ -20,6 +20,8 @@ CO_ACCESS = 12
 SPREAD = 0.45
 LINK_CAP = 1 << 17
 LINK_DROP = 0.05
+#: Share of LINK_CAP beyond which links are pruned.
+PRUNE_FROM = 0.7
 TINY = 1e-9
 
 

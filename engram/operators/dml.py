@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from ..functions import memory as M
 from ..functions import scalar as S
-from ..plans.compiler import ident, spark_kind
+from ..plans.compiler import ident, names_in, spark_kind
 from ..plans.parser import parse_expression
 from . import constraints as C
 
@@ -55,10 +55,7 @@ class Dml:
         src = source.toDF(*[f"c{i}" for i in range(len(names))])
         given = {n.lower(): i for i, n in enumerate(names)}
         counter = next((c for c in t["columns"] if c["identity"] and c["name"].lower() not in given), None)
-        if counter is not None:
-            src = self.numbered(src)
-        else:
-            src = src.withColumn("__i", F.monotonically_increasing_id())
+        src = self.numbered(src) if counter is not None else src.withColumn("__i", F.monotonically_increasing_id())
         cols = []
         for c in t["columns"]:
             if c["name"].lower() in given:
@@ -82,7 +79,12 @@ class Dml:
             raise
         n, top = new.agg(F.count("*"), F.max("_rid")).first()
         if n:
-            self.st.catalog["next_rid"] = top + 1
+            if top - base >= n:  # partitions leave gaps between their ids
+                physical = self.st.physical(new_t)
+                dense = self.numbered(physical.withColumn("__m", F.col("_rid") - base)).withColumn("_rid", F.lit(base) + F.col("__i"))
+                gappy, segment = segment, self.st.write(dense.select(*physical.columns))
+                self.st.remove(gappy)
+            self.st.catalog["next_rid"] = base + n
             if counter is not None:
                 counter["next"] += n * counter["identity"][1]
             self.st.replace(t, [*t["segments"], segment])
@@ -93,29 +95,30 @@ class Dml:
 
     def numbered(self, df: DataFrame) -> DataFrame:
         """__i: 0, 1, 2 ... over all partitions in order, without gathering rows: offsets come from counts by partition."""
-        fixed = self.st.stage(df.withColumn("__m", F.monotonically_increasing_id()))
+        fixed = df if "__m" in df.columns else self.st.stage(df.withColumn("__m", F.monotonically_increasing_id()))
         part = F.shiftright("__m", 33)
-        counts = fixed.groupBy(part.alias("p")).count()
         w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select("p", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("o"))  # one row for each partition
+        offsets = fixed.groupBy(part.alias("p")).count().select("p", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("o"))  # one row for each partition
         return fixed.join(offsets, part == F.col("p")).withColumn("__i", F.col("o") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("p", "o", "__m")
 
     # --- constraints
 
-    def check_rows(self, t: dict, new: DataFrame, old: DataFrame | None, changed: set[str] | None = None):
-        """new rows beside old ones (None: new is the whole table). changed: names of updated columns."""
+    def check_rows(self, t: dict, new: DataFrame, old: DataFrame | None, changed: set[str] | None = None, plan: dict | None = None):
+        """new rows beside old ones (None: new is the whole table). changed: names of updated columns; only constraints on
+        them are looked at. plan: entries that tables will have, as parents."""
         touched = lambda n: changed is None or n.lower() in changed
         C.not_null(new, [c["name"] for c in t["columns"] if c["not_null"] and touched(c["name"])])
         for text in t["checks"]:
-            self.check_condition(t, new, text)
+            if changed is None or any(touched(n) for n in names_in(parse_expression(text))):
+                self.check_condition(t, new, text)
         for c in t["columns"]:
             if (c["primary"] or c["unique"]) and touched(c["name"]):
                 C.unique(new, old, c["name"], S.kind_of(c["type"]) == "text", "primary key" if c["primary"] else "unique value")
         for r in t["refs"]:
             if any(touched(c) for c in r["columns"]):
                 p = self.st.table(r["table"])
-                parent = self.st.rows(p)
-                if p is t:
+                parent = self.st.rows((plan or {}).get(r["table"].lower(), p))
+                if p is t and plan is None:
                     parent = parent.union(new) if old is not None else new
                 self.no_orphans(t, new, r, p, parent)
 
@@ -157,11 +160,8 @@ class Dml:
         if not n:
             return 0
         gone = {t["name"].lower(): doomed}
-        queue, steps = [(t, doomed)], 0
-        while queue:
-            steps += 1
-            if steps > MAX_DEPTH:
-                raise EngineError("cascades nest too deep")
+        queue = [(t, doomed)]
+        while queue:  # ends: every step removes rows that were there
             p, rids = queue.pop(0)
             lost = self.st.rows(p).join(rids, "_rid", "left_semi")
             for child, r in self.referencing(p["name"]):
@@ -234,24 +234,14 @@ class Dml:
         touched, rest = self.st.split(t, hit)
         part = self.e.update_relation(t | {"segments": touched}, used)
         segment = self.st.write(self.spark.sql(f"SELECT {', '.join(cols)} FROM {part} AS __u"))
-        changed = set(names)
-        plan = {t["name"].lower(): t | {"segments": [*rest, segment]}}
-        self.cascade_update(t, before.join(hit, "_rid", "left_semi"), changed, plan)
-        for name, nt in plan.items():
-            whole = self.st.rows(nt)
-            old = self.st.table(name)
-            # constraints of the updated table, with parents as they will be
-            for c in old["columns"]:
-                if c["not_null"] and (nt is not plan[t["name"].lower()] or c["name"].lower() in changed):
-                    C.not_null(whole, [c["name"]])
-                if c["primary"] or c["unique"]:
-                    C.unique(whole, None, c["name"], S.kind_of(c["type"]) == "text", "primary key" if c["primary"] else "unique value")
-            for text in old["checks"]:
-                self.check_condition(nt, whole, text)
-            for r in old["refs"]:
-                p = self.st.table(r["table"])
-                self.no_orphans(nt, whole, r, p, self.st.rows(plan.get(r["table"].lower(), p)))
-        for name, nt in plan.items():
+        # of each table: its entry as it will be, ids of its changed rows, names of its changed columns
+        plan = {t["name"].lower(): (t | {"segments": [*rest, segment]}, hit, set(names))}
+        self.cascade_update(t, before.join(hit, "_rid", "left_semi"), set(names), plan)
+        coming = {name: nt for name, (nt, _, _) in plan.items()}
+        for name, (nt, rids, changed) in plan.items():
+            rows = self.st.rows(nt)
+            self.check_rows(self.st.table(name), rows.join(rids, "_rid", "left_semi"), rows.join(rids, "_rid", "left_anti"), changed, coming)
+        for name, nt in coming.items():
             self.st.replace(self.st.table(name), nt["segments"])
         if not self.e.observer:
             self.e.touch(hit, M.BOOST)
@@ -265,7 +255,7 @@ class Dml:
             if steps > MAX_DEPTH:
                 raise EngineError("cascades nest too deep")
             p, old_rows, columns = queue.pop(0)
-            after = self.st.rows(plan[p["name"].lower()])
+            after = self.st.rows(plan[p["name"].lower()][0])
             for child, r in list(self.referencing(p["name"])):
                 targets = [named(p, x) for x in r["targets"]]
                 if not any(x.lower() in columns for x in targets):
@@ -281,7 +271,7 @@ class Dml:
                 if C.first(moved) is None:
                     continue
                 cname = child["name"].lower()
-                ct = plan.get(cname, child)
+                ct, moved_before, changed_before = plan.get(cname, (child, None, set()))
                 rows = self.st.rows(ct)
                 cols = [named(child, c) for c in r["columns"]]
                 texts = [is_text(child, c) and is_text(p, x) for c, x in zip(r["columns"], r["targets"], strict=True)]
@@ -300,5 +290,8 @@ class Dml:
                     else:
                         out.append(rows[ident(c["name"])].alias(c["phys"]))
                 out += [rows[x] for x in ("_rid", "_s0", "_a0", "_l0")]
-                plan[cname] = child | {"segments": [self.st.write(joined.select(*out))]}
+                rids = affected.select("_rid")
+                if moved_before is not None:
+                    rids = rids.union(moved_before).distinct()
+                plan[cname] = child | {"segments": [self.st.write(joined.select(*out))]}, rids, changed_before | {c.lower() for c in cols}
                 queue.append((child, affected, {c.lower() for c in cols}))

@@ -1,16 +1,22 @@
-"""Catalog and snapshots: a JSON manifest beside immutable Parquet segments.
-
-A table is a list of segments; a statement writes new ones and then swaps the manifest, so readers see all of it or
-nothing. Columns have physical names of their own: renaming, dropping and adding without a default touch the manifest only.
-All file work goes through Hadoop's FileSystem, so the path can be in any store that Spark reads.
+"""Catalog and snapshots: numbered JSON manifests beside immutable Parquet segments.
+
+A table is a list of segments; a statement writes new ones and then publishes the next manifest, so readers see all of it or
+nothing. Manifest n+1 is written whole under another name and then renamed to its number, which must be free: a crash
+leaves manifest n in force, and of two engines that both start from n one is refused. Nothing is deleted before
+VACUUM, which drops older manifests and what the newest does not name. Columns have physical names of their own: renaming,
+dropping and adding without a default touch the manifest only. All file work goes through Hadoop's file systems, so the path can
+be in any store that Spark reads.
 """
 
 from __future__ import annotations
 
 import copy
 import json
+import re
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +30,7 @@ LOG_SCHEMA = "_rid bigint, ts double, seq bigint, kind string, boost double"
 LINK_SCHEMA = "a bigint, b bigint, w double"
 #: Segments of the log or the links beyond which they are merged.
 MAX_SEGMENTS = 64
+_MANIFEST = re.compile(r"catalog-(\d{12})\.json")
 EMPTY = {"next_rid": 1, "seq": 0, "tables": {}, "views": {}, "procs": {}, "log": [], "links": []}
 
 
@@ -41,26 +48,65 @@ class Storage:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _load(self) -> dict:
-        fs, p = self._fs(f"{self.path}/catalog.json")
+    def _manifests(self) -> list[int]:
+        fs, p = self._fs(self.path)
         if not fs.exists(p):
-            return copy.deepcopy(EMPTY)
-        text = "".join(r.value for r in self.spark.read.text(f"{self.path}/catalog.json", wholetext=True).collect())
-        return json.loads(text)
+            return []
+        found = (_MANIFEST.fullmatch(f.getPath().getName()) for f in fs.listStatus(p))
+        return sorted(int(m[1]) for m in found if m)
+
+    def _manifest(self, n: int) -> str:
+        return f"{self.path}/catalog-{n:012d}.json"
+
+    def _read(self, path: str) -> dict:
+        return json.loads("".join(r.value for r in self.spark.read.text(path, wholetext=True).collect()))
+
+    def _load(self) -> dict:
+        """The newest manifest."""
+        numbers = self._manifests()
+        self.generation = numbers[-1] if numbers else 0
+        catalog = self._read(self._manifest(self.generation)) if numbers else copy.deepcopy(EMPTY)
+        self.saved = json.dumps(catalog)
+        return catalog
 
     def save(self):
-        """Swap the manifest; inside a transaction nothing is written."""
+        """Publish the catalog as the next manifest, if it has changed; inside a transaction nothing is written."""
         if self.stack:
             return
-        fs, p = self._fs(f"{self.path}/catalog.json.new")
-        out = fs.create(p, True)
+        text = json.dumps(self.catalog)
+        if text == self.saved:
+            return
+        if not self._publish(self._write_aside(text), self.generation + 1):
+            self.catalog = self._load()
+            raise EngineError("another engine has changed the database meanwhile; the statement is undone, run it again")
+        self.generation += 1
+        self.saved = text
+
+    def _write_aside(self, text: str) -> str:
+        path = f"{self.path}/catalog-{uuid.uuid4().hex}.new"
+        fs, p = self._fs(path)
+        out = fs.create(p, False)
         try:
-            out.write(bytearray(json.dumps(self.catalog).encode()))
+            out.write(bytearray(text.encode()))
         finally:
             out.close()
-        _, target = self._fs(f"{self.path}/catalog.json")
-        fs.delete(target, False)
-        fs.rename(p, target)
+        return path
+
+    def _publish(self, path: str, n: int) -> bool:
+        """Rename to manifest n; False if there is one."""
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        fs, source = self._fs(path)
+        target = self._fs(self._manifest(n))[1]
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        never_over = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(source, target, never_over)
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
+                raise
+            fs.delete(source, False)
+            return False
+        return True
 
     def remove(self, path: str):
         fs, p = self._fs(path)
@@ -161,21 +207,30 @@ class Storage:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*dirs)
 
-    def append(self, kind: str, df: DataFrame):
-        """One more segment of the log or the links; many small ones are merged."""
+    def append(self, kind: str, df: DataFrame, merged: Callable[[DataFrame], DataFrame] = lambda df: df):
+        """One more segment of the log or the links; many small ones become one, as ``merged`` has it."""
         d = self.new_dir(kind)
         df.write.parquet(d)
         self.catalog[kind].append(d)
         if len(self.catalog[kind]) > MAX_SEGMENTS:
-            merged = self.new_dir(kind)
-            self._segments(kind, LOG_SCHEMA if kind == "log" else LINK_SCHEMA).write.parquet(merged)  # small files are read packed together
-            self.catalog[kind] = [merged]
+            one = self.new_dir(kind)
+            merged(self._segments(kind, LOG_SCHEMA if kind == "log" else LINK_SCHEMA)).write.parquet(one)  # small files are read packed together
+            self.catalog[kind] = [one]
 
     def sweep(self):
-        """Deletes directories that the manifest does not name."""
+        """Deletes older manifests and directories that the newest one, which must be this engine's, does not name."""
+        if self._manifests()[-1:] != [self.generation]:
+            raise EngineError("another engine has changed the database meanwhile; nothing is deleted")
         c = self.catalog
-        named = [*c["log"], *c["links"], *(d for t in c["tables"].values() for d in t["segments"]), *(x["dir"] for t in c["tables"].values() for x in t["indexes"].values())]
+        named = [*c["log"], *c["links"], *(d for t in c["tables"].values() for d in t["segments"])]
+        named += [d for t in c["tables"].values() for x in t["indexes"].values() for d in x["parts"].values()]
         keep = {d.rsplit("/", 1)[1] for d in named}
+        fs, p = self._fs(self.path)
+        for f in fs.listStatus(p):
+            name = f.getPath().getName()
+            m = _MANIFEST.fullmatch(name)
+            if (m and int(m[1]) < self.generation) or re.fullmatch(r"catalog-[0-9a-f]{32}\.new", name):
+                fs.delete(f.getPath(), False)
         for kind in ("tables", "log", "links", "index", "tmp"):
             fs, p = self._fs(f"{self.path}/{kind}")
             if fs.exists(p):
