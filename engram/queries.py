@@ -193,7 +193,7 @@ dialect(
 )
 
 
-@native("fn_newid_getdate", None)
+@native("fn_newid_getdate", "SELECT r_regionkey, 36 AS n, 19 AS d FROM region")
 def fn_newid_getdate(spark, sf_dir):
     return engine(spark, sf_dir, "region").sql("SELECT r_regionkey, LEN(NEWID()) AS n, LEN(GETDATE()) AS d FROM region")
 
@@ -223,10 +223,14 @@ dialect(
     "SELECT TOP 25 doc_id, ROUND(ts_rank(to_tsvector(text), to_tsquery('tion | en')), 9) AS r FROM documents WHERE to_tsvector(text) @@ to_tsquery('tion | en') ORDER BY r DESC, doc_id",
     _fts("doc_id, round(list_sum(list_transform(v, lambda w, i: CASE WHEN w = 'tion' OR w = 'en' THEN 1.0::DOUBLE / (1 + i) ELSE 0 END)), 9) AS r", f"WHERE {_has('tion')} OR {_has('en')}", "ORDER BY r DESC, doc_id LIMIT 25"),
 )
-dialect(
-    "fts_tsvector_stats", "benchmark", "SELECT item_id, LEN(to_tsvector(text)) AS n, LEFT(to_tsvector(text), 12) AS head FROM benchmark", None,
-)
-del ORACLE["fts_tsvector_stats"]
+_VECTOR = """e AS (SELECT doc_id, unnest(v) AS w, generate_subscripts(v, 1) AS p FROM s), g AS (SELECT doc_id, w, min(p) AS f, w || ':' || string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS t FROM e GROUP BY doc_id, w),
+x AS (SELECT doc_id, string_agg(t, ' ' ORDER BY f) AS t FROM g GROUP BY doc_id)"""
+
+
+@native("fts_tsvector", f"WITH s AS ({_fts('doc_id, v')}), {_VECTOR} SELECT s.doc_id, md5(coalesce(x.t, '')) AS vector, CAST(len(coalesce(x.t, '')) AS INTEGER) AS n FROM s LEFT JOIN x ON s.doc_id = x.doc_id")
+def fts_tsvector(spark, sf_dir):
+    vectors = engine(spark, sf_dir, "documents").sql("SELECT doc_id, to_tsvector(text) AS v FROM documents")
+    return vectors.select("doc_id", F.md5("v").alias("vector"), F.length("v").alias("n"))
 
 
 @native("fts_inverted_index", "SELECT lexeme, count(*) AS docs FROM (" + _fts("doc_id, unnest(list_distinct(v)) AS lexeme") + ") GROUP BY lexeme")
@@ -527,6 +531,275 @@ def insert_exec(spark, sf_dir):
     return e.sql("SELECT k, n FROM t")
 
 
+# --- statements, one after another on a managed table, and what they leave behind
+
+
+def _remembering(spark, sf_dir, tables: str, clock=lambda: NOW) -> Engine:
+    """An engine that reinforces what it reads, with the customers in a table of its own."""
+    e = Engine(spark, string_semantics="binary", clock=clock)
+    e.register_parquet(sf_dir, *tables.split())
+    e.run("CREATE TABLE cust (id BIGINT PRIMARY KEY, nation INT, bal FLOAT, seg NVARCHAR(20))")
+    e.run(_FILL)
+    return e
+
+
+def _watch(e: Engine, sql: str) -> DataFrame:
+    """A query that leaves no trace."""
+    e.observer = True
+    return e.sql(sql)
+
+
+_STATE = "SELECT id, _rid AS rid, _strength AS s, _access AS a, _access_count AS n, _score AS z FROM cust"
+
+
+def _state_sql(strength: str, accesses: str) -> str:
+    rows = "SELECT c_custkey, c_nationkey, c_mktsegment, row_number() OVER (ORDER BY c_custkey) AS rid, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS g FROM customer"
+    return f"SELECT c_custkey AS id, rid, CAST({strength} AS DOUBLE) AS s, CAST({accesses} AS BIGINT) AS a, CAST({accesses} AS BIGINT) AS n, CAST(0 AS DOUBLE) AS z FROM ({rows})"
+
+
+def stateful(name: str, statements: str, strength: str, accesses: str, tables: str = "customer"):
+    """Statements, then strength and accesses of every row."""
+
+    def run(spark, sf_dir):
+        e = _remembering(spark, sf_dir, tables)
+        for text in filter(None, statements.split(";")):
+            e.run(text)
+        return _watch(e, _STATE)
+
+    native(name, _state_sql(strength, accesses))(run)
+
+
+stateful("mem_pseudo_columns", "", "1", "0")
+stateful("mem_reinforce_select", "SELECT id FROM cust WHERE nation = 3; SELECT TOP 4 id FROM cust ORDER BY id", "1 + (c_nationkey = 3)::INT + (rid <= 4)::INT", "(c_nationkey = 3)::INT + (rid <= 4)::INT")
+stateful("mem_reinforce_groups", "SELECT seg, COUNT(*) FROM cust GROUP BY seg HAVING seg <> 'BUILDING'", "1 + (g <= 12 AND c_mktsegment <> 'BUILDING')::INT", "(g <= 12 AND c_mktsegment <> 'BUILDING')::INT")
+stateful("mem_reinforce_join", "SELECT c.id FROM cust c JOIN nation ON nation = n_nationkey WHERE n_regionkey = 1", "1 + (c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))::INT", "(c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))::INT", "customer nation")
+stateful("mem_reinforce_update", "UPDATE cust SET bal = 0 WHERE nation < 5", "1 + (c_nationkey < 5)::INT", "(c_nationkey < 5)::INT")
+stateful("mem_reinforce_captured", "CREATE TABLE other (id BIGINT); INSERT INTO other SELECT id FROM cust WHERE nation = 7", "1 + (c_nationkey = 7)::INT", "(c_nationkey = 7)::INT")
+stateful("mem_statements", "REMEMBER FROM cust WHERE nation = 2; FORGET FROM cust WHERE nation = 4; REMEMBER FROM cust WHERE nation = 4 AND id % 2 = 0",
+         "CASE WHEN c_nationkey = 2 THEN 4 WHEN c_nationkey = 4 THEN 3 * (c_custkey % 2 = 0)::INT ELSE 1 END", "(c_nationkey = 2 OR (c_nationkey = 4 AND c_custkey % 2 = 0))::INT")
+stateful("mem_distinct_reinforces_nothing", "SELECT DISTINCT seg FROM cust; SELECT COUNT(*) FROM cust", "1", "0")
+
+
+@native("mem_observer", _state_sql("1", "0"))
+def mem_observer(spark, sf_dir):
+    e = _managed(spark, sf_dir, "customer")
+    e.run(_FILL + "; SELECT * FROM cust; UPDATE cust SET bal = bal + 1")
+    return e.sql(_STATE)
+
+
+@native("mem_clock_and_vacuum", _state_sql("0.25 + 0.5 * (c_nationkey = 3)::INT", "(c_nationkey = 3)::INT"))
+def mem_clock_and_vacuum(spark, sf_dir):
+    """Two weeks pass; reads after the first; the log is folded in between."""
+    now = [NOW]
+    e = _remembering(spark, sf_dir, "customer", lambda: now[0])
+    now[0] += M.HALF_LIFE
+    e.run("SELECT id FROM cust WHERE nation = 3; VACUUM")
+    now[0] += M.HALF_LIFE
+    return _watch(e, _STATE)
+
+
+_FIRST = "WITH f AS (SELECT rid, n FROM (SELECT rid, row_number() OVER (ORDER BY rid) AS n FROM (SELECT c_nationkey, row_number() OVER (ORDER BY c_custkey) AS rid FROM customer) WHERE c_nationkey = 3) WHERE n <= 12)"
+
+
+@native("show_links", _FIRST + " SELECT round(CASE WHEN y.n <= 3 THEN 0.6 ELSE 0.3 END::DOUBLE, 6) AS weight, x.rid AS a, y.rid AS b, 'cust' AS table_a, 'cust' AS table_b FROM f x JOIN f y ON x.rid < y.rid ORDER BY 1 DESC, 2, 3 LIMIT 8")
+def show_links(spark, sf_dir):
+    e = _remembering(spark, sf_dir, "customer")
+    e.run("SELECT id FROM cust WHERE nation = 3 ORDER BY id; SELECT TOP 3 id FROM cust WHERE nation = 3 ORDER BY id")
+    return _watch(e, "SHOW LINKS FROM cust TOP 8").select(F.round("weight", 6).alias("weight"), "a", "b", "table_a", "table_b")
+
+
+@native("vacuum_prunes_links", _FIRST + " SELECT round(0.15::DOUBLE, 6) AS w, count(*) AS n FROM f x JOIN f y ON x.rid < y.rid")
+def vacuum_prunes_links(spark, sf_dir):
+    """With more links than the cap allows, VACUUM halves them."""
+    e = _remembering(spark, sf_dir, "customer")
+    e.run("SELECT id FROM cust WHERE nation = 3 ORDER BY id")
+    cap, M.LINK_CAP = M.LINK_CAP, 10
+    try:
+        e.run("VACUUM")
+    finally:
+        M.LINK_CAP = cap
+    return e.links().groupBy(F.round("w", 6).alias("w")).agg(F.count("*").alias("n"))
+
+
+def _parts_engine(spark, sf_dir) -> Engine:
+    e = Engine(spark, string_semantics="binary", clock=lambda: NOW)
+    e.register_parquet(sf_dir, "part")
+    e.run("CREATE TABLE parts (name NVARCHAR(99), kind NVARCHAR(99)); INSERT INTO parts SELECT p_name, p_type FROM part")
+    return e
+
+
+_RECALLED = _recall_sql("rid, score", "").replace("p_size / 10.0::DOUBLE AS st, p_size % 7 AS ac", "1.0::DOUBLE AS st, 0 AS ac, row_number() OVER (ORDER BY p_partkey) AS rid").replace(
+    "SELECT rid, score FROM k", ", top AS (SELECT rid, round(base, 6) AS score FROM k ORDER BY round(base, 6) DESC, rid LIMIT 10)")
+
+
+@native("recall_statement", _RECALLED + " SELECT rid, score FROM top")
+def recall_statement(spark, sf_dir):
+    return _parts_engine(spark, sf_dir).sql(f"RECALL '{_PHRASE}' FROM parts").select(F.col("_rid").alias("rid"), F.round("score", 6).alias("score"))
+
+
+@native("recall_reinforces", _RECALLED + " SELECT rid, 2.5::DOUBLE AS s, round(9 * 0.3::DOUBLE, 6) AS w FROM top")
+def recall_reinforces(spark, sf_dir):
+    """What was recalled is stronger, and linked with what was recalled beside it."""
+    e = _parts_engine(spark, sf_dir)
+    e.run(f"RECALL '{_PHRASE}' FROM parts")
+    strong = _watch(e, "SELECT _rid AS rid, _strength AS s FROM parts WHERE _strength > 1")
+    weights = OM.both_ways(e.links()).groupBy(F.col("a").alias("rid")).agg(F.round(F.sum("w"), 6).alias("w"))
+    return strong.join(weights, "rid")
+
+
+# --- text index
+
+
+@native(
+    "gin_lookup",
+    "WITH m AS (" + _fts("doc_id, v") + f") SELECT doc_id AS id FROM m WHERE doc_id % 5 NOT IN (1, 2) AND {_has('tion')} AND {_has('en')} UNION ALL SELECT doc_id FROM documents WHERE doc_id % 5 = 2 UNION ALL SELECT 99000000",
+)
+def gin_lookup(spark, sf_dir):
+    """An index, changes of the table after it, and a query that goes through it."""
+    e = engine(spark, sf_dir, "documents", clock=lambda: NOW)
+    e.run("CREATE TABLE d (id BIGINT, body NVARCHAR(MAX)); INSERT INTO d SELECT doc_id, text FROM documents; CREATE INDEX words ON d (body) USING GIN")
+    e.run("DELETE FROM d WHERE id % 5 = 1; UPDATE d SET body = 'only tion, en' WHERE id % 5 = 2; INSERT INTO d VALUES (99000000, 'En tion'), (99000001, 'en')")
+    asked = "SELECT id FROM d WHERE to_tsvector(body) @@ to_tsquery('tion & en')"
+    assert "lexeme" in e.sql(f"EXPLAIN {asked}").first()[0]
+    return e.sql(asked)
+
+
+@native("gin_dropped", "SELECT doc_id AS id FROM (" + _fts("doc_id, v") + f") WHERE {_has('tion')}")
+def gin_dropped(spark, sf_dir):
+    e = engine(spark, sf_dir, "documents", clock=lambda: NOW)
+    e.run("CREATE TABLE d (id BIGINT, body NVARCHAR(MAX)); INSERT INTO d SELECT doc_id, text FROM documents; CREATE INDEX words ON d (body) USING GIN; DROP INDEX words ON d")
+    return e.sql("SELECT id FROM d WHERE to_tsvector(body) @@ 'tion'")
+
+
+# --- names, order, comments, casts
+
+dialect("auto_labels", "nation", "SELECT n_nationkey + 1, UPPER(n_name), 5, CAST(n_regionkey AS FLOAT), CASE WHEN n_regionkey = 1 THEN 2 END FROM nation",
+        "SELECT n_nationkey + 1 AS expr, upper(n_name) AS \"UPPER(n_name)\", 5 AS value, CAST(n_regionkey AS DOUBLE) AS \"cast\", CASE WHEN n_regionkey = 1 THEN 2 END AS \"case\" FROM nation")
+dialect("order_position", "nation", "SELECT n_name, n_regionkey FROM nation ORDER BY 2 DESC, 1 LIMIT 9")
+dialect("offset_only", "nation", "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 4")
+dialect("all_any_equality", "part", "SELECT p_partkey FROM part WHERE p_size = ALL (SELECT 7) OR (p_size <> ANY (SELECT 7) AND p_size <> ALL (SELECT p_size FROM part WHERE p_size < 40))",
+        "SELECT p_partkey FROM part WHERE p_size = 7 OR (p_size <> 7 AND p_size NOT IN (SELECT p_size FROM part WHERE p_size < 40))")
+dialect("comments_and_quoted_names", "nation", "-- names\nSELECT /* in\ntwo lines */ [n_name] AS \"The Name\", n_regionkey AS [select] FROM \"nation\" WHERE [n_nationkey] < 5 -- end",
+        "SELECT n_name AS \"The Name\", n_regionkey AS \"select\" FROM nation WHERE n_nationkey < 5")
+dialect("cast_datetime_uuid", "orders", "SELECT o_orderkey, CAST('2024-02-29 12:30:00' AS DATETIME) AS d, CAST('6b29fc40-ca47-1067-b31d-00dd010662da' AS UNIQUEIDENTIFIER) AS u FROM orders WHERE o_orderkey < 50",
+        "SELECT o_orderkey, '2024-02-29 12:30:00' AS d, '6b29fc40-ca47-1067-b31d-00dd010662da' AS u FROM orders WHERE o_orderkey < 50")
+dialect("clock_functions", "region", "SELECT r_regionkey, LEN(CURRENT_TIMESTAMP) AS a, LEN(SYSDATETIME()) AS b, IIF(GETDATE() > '2020', 1, 0) AS c FROM region", "SELECT r_regionkey, 19 AS a, 19 AS b, 1 AS c FROM region")
+
+
+# --- definitions and transactions
+
+
+@native("ddl_rename_read_back", "SELECT c_custkey AS id, c_mktsegment AS segment FROM customer WHERE c_mktsegment = 'BUILDING'")
+def ddl_rename_read_back(spark, sf_dir):
+    e = _managed(spark, sf_dir, "customer")
+    e.run(_FILL + "; ALTER TABLE cust RENAME COLUMN seg TO segment")
+    return e.sql("SELECT id, segment FROM cust WHERE segment = 'BUILDING'")
+
+
+@native("vacuum", "SELECT count(*) AS n, round(sum(CASE WHEN c_nationkey = 2 THEN 1 ELSE c_acctbal END), 2) AS s, 1 AS segments FROM customer WHERE c_nationkey <> 3")
+def vacuum(spark, sf_dir):
+    e = _managed(spark, sf_dir, "customer")
+    e.run(_FILL + "; DELETE FROM cust WHERE nation = 3; UPDATE cust SET bal = 1 WHERE nation = 2; CHECKPOINT; VACUUM")
+    return e.sql("SELECT COUNT(*) AS n, ROUND(SUM(bal), 2) AS s FROM cust").withColumn("segments", F.lit(len(e.storage.table("cust")["segments"])))
+
+
+@native("txn_commit_reopen", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS gone FROM customer WHERE c_nationkey <> 3")
+def txn_commit_reopen(spark, sf_dir):
+    """What was committed is there for the next engine; what was not is not."""
+    e = _managed(spark, sf_dir, "customer")
+    e.run(_FILL + "; BEGIN; DELETE FROM cust WHERE nation = 3; COMMIT; BEGIN; TRUNCATE TABLE cust; CREATE TABLE draft (x INT)")
+    again = Engine(spark, e.storage.path, observer=True, clock=lambda: NOW)
+    assert "draft" not in again.storage.catalog["tables"]
+    return again.sql("SELECT COUNT(*) AS n, (SELECT COUNT(*) FROM cust WHERE nation = 3) AS gone FROM cust")
+
+
+def messages(name: str, texts: list[str], want: list[str], tables: str = "nation", setup: str = ""):
+    """What statements answer, errors included."""
+
+    def run(spark, sf_dir):
+        e = engine(spark, sf_dir, tables, clock=lambda: NOW)
+        if setup:
+            e.run(setup)
+        e.on_error = "continue"
+        said = [(i, e.run(t)[-1].message) for i, t in enumerate(texts)]
+        return spark.createDataFrame(said, "i int, said string").coalesce(1)
+
+    values = ", ".join(f"({i}, '{w.replace(chr(39), chr(39) * 2)}')" for i, w in enumerate(want))
+    native(name, f"SELECT CAST(i AS INTEGER) AS i, said FROM (VALUES {values}) AS t(i, said)")(run)
+
+
+_WRONG = ["SELECT SUM(COUNT(*)) FROM nation", "SELECT n_name FROM nation WHERE COUNT(*) > 1", "SELECT * FROM nation GROUP BY n_regionkey", "SELECT 1 UNION SELECT 1, 2", "SELECT x FROM nation", "SELECT n_name FROM nowhere",
+          "CREATE PROCEDURE deep AS EXEC deep; EXEC deep", "DECLARE @x INT", "SELECT LEN('a', 'b')"]
+_ERRORS = ["error: an aggregate can't be inside of another", "error: WHERE can't have aggregates, use HAVING", "error: SELECT * can't be grouped", "error: UNION needs as many columns on both sides: 1 and 2",
+           "error: no column 'x'", "error: unknown table 'nowhere'", "error: procedure call depth exceeded", "error: unrecognised statement near 'DECLARE'", "error: LEN takes 1 arguments, not 2"]
+messages("ddl_messages",
+         ["CREATE TABLE a (x INT)", "INSERT INTO a VALUES (1), (2)", "DELETE FROM a WHERE x = 1", "CREATE VIEW v AS SELECT x FROM a", "DROP VIEW v", "DROP VIEW IF EXISTS v", "CREATE PROCEDURE p AS PRINT 6 * 7", "CALL p",
+          "DROP PROCEDURE p", "DROP TABLE a", "DROP TABLE IF EXISTS a", "PRINT 'a' + 'b'", "CHECKPOINT"],
+         ["table 'a' created", "(2 rows inserted)", "(1 row deleted)", "view 'v' created", "view 'v' dropped", "no view 'v'", "procedure 'p' created", "42", "procedure 'p' dropped", "table 'a' dropped", "no table 'a'", "ab",
+          "checkpoint complete"])
+messages("error_rules", _WRONG, _ERRORS)
+
+
+# --- procedures, dynamic SQL, scripts
+
+
+@native("proc_return_code", "SELECT count(*) AS n FROM nation WHERE n_regionkey = 2")
+def proc_return_code(spark, sf_dir):
+    e = engine(spark, sf_dir, "nation")
+    e.run("CREATE PROCEDURE region_of (@k INT) AS BEGIN IF @k > 4 RETURN 4; RETURN @k + 1; END; CREATE PROCEDURE counted AS BEGIN DECLARE @r INT; EXEC @r = region_of 1; SELECT COUNT(*) AS n FROM nation WHERE n_regionkey = @r; END")
+    return e.sql("CALL counted")
+
+
+@native("proc_dynamic_sql", "SELECT n_regionkey AS k, count(*) AS n FROM nation WHERE n_nationkey > 3 GROUP BY n_regionkey")
+def proc_dynamic_sql(spark, sf_dir):
+    e = engine(spark, sf_dir, "nation")
+    e.run("CREATE PROCEDURE ask (@t NVARCHAR(20), @least INT) AS BEGIN DECLARE @q NVARCHAR(200) = 'SELECT n_regionkey AS k, COUNT(*) AS n FROM ' + @t + ' WHERE n_nationkey > @least GROUP BY n_regionkey'; EXEC (@q); END")
+    return e.sql("EXEC ask 'nation', 3")
+
+
+def _lines(spark, text: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "i int, line string").coalesce(1)
+
+
+_GRID = "SELECT CAST(i AS INTEGER) AS i, line FROM (SELECT 0 AS i, 'r_regionkey  r_name' AS line UNION ALL SELECT 1, '-----------  ' || repeat('-', (SELECT max(length(r_name)) FROM region)::INT) UNION ALL SELECT 2 + r_regionkey, rpad(CAST(r_regionkey AS VARCHAR), 11, ' ') || '  ' || r_name FROM region UNION ALL SELECT 7, '(5 rows)')"
+
+
+@native("text_grid", _GRID)
+def text_grid(spark, sf_dir):
+    e = engine(spark, sf_dir, "region")
+    return _lines(spark, e.show(e.sql("SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey")))
+
+
+@native("shell_script", _GRID)
+def shell_script(spark, sf_dir):
+    """The same grid through the shell, its statement spread over lines."""
+    import io
+
+    from .__main__ import shell
+
+    out = io.StringIO()
+    shell(engine(spark, sf_dir, "region"), io.StringIO("-- a script\nSELECT r_regionkey,\n r_name FROM region\n ORDER BY r_regionkey;\n.exit\nPRINT 'never';\n"), out)
+    lines = [x for x in out.getvalue().splitlines() if x.strip()]
+    return _lines(spark, "\n".join(lines[-8:]))
+
+
+@native("server_rows", "SELECT n_nationkey AS k, n_name AS name, 'true' AS ok FROM nation WHERE n_regionkey < 3")
+def server_rows(spark, sf_dir):
+    import json
+
+    from .sources.server import Service
+
+    a = Service(engine(spark, sf_dir, "nation"), token="t").handle(json.dumps({"sql": "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey < 3", "token": "t", "observe": "0"}))
+    return spark.createDataFrame([(*r, str(a["ok"]).lower()) for r in a["rows"]], f"{a['columns'][0]} int, {a['columns'][1]} string, ok string")
+
+
+@native("explain_pushes_filters", "SELECT 1 AS pushed, 1 AS pruned")
+def explain_pushes_filters(spark, sf_dir):
+    plan = engine(spark, sf_dir, "orders").sql("EXPLAIN SELECT o_orderkey FROM orders WHERE o_orderkey = 77").first()[0]
+    found = "EqualTo(o_orderkey,77)" in plan, "ReadSchema: struct<o_orderkey:bigint>" in plan
+    return spark.createDataFrame([tuple(map(int, found))], "pushed int, pruned int")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["agg_group"](spark, sf_dir)
 
