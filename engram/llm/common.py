@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -66,13 +67,30 @@ def held(key, make):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session: ``spark.checkpoint.dir``, an own one only where it is unset."""
+    """The checkpoint folder of the session: ``spark.checkpoint.dir``. Where that is unset, an own one in local mode; a cluster needs one that
+    all machines share, so there it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="engram-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="engram-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def park(df: DataFrame) -> DataFrame:
+    """df written to the shared folder in small row groups and read again: reads take the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/engram-{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

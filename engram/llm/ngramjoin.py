@@ -1,23 +1,27 @@
 """N-gram Jaccard join by prefix trees.
 
-A document's set holds its distinct word n-grams (hashes of 54 bits at least, 64 for large inputs). All sets share one global order,
-rare n-grams first. Two sets that reach the threshold share an n-gram among the first
-``size - ceil(t * size) + 1`` of each (the prefix); an n-gram in one set only can be no such n-gram.
-
-1. *Frequencies.* One pass over the texts makes the sets, batch by batch. N-grams go to ranges of the
-   hash space in packed arrays (6 bytes each, once per batch; the range tells the other bits), are counted there, and only those in
-   two sets or more come back to their batch, with their frequency. A set with too few of them for
-   the threshold can have no partner and ends here.
-2. *Blocks.* Sets that share a prefix n-gram are connected; components are the blocks. No pairs are made.
-3. *Trie join.* A block holds at most ``BLOCK_SETS`` sets and about ``BLOCK_GRAMS`` n-grams, or it is cut into chunks
-   and every two chunks meet in a tile. A tile stores its sets in a path-compressed trie, frequent n-grams
+A document's set holds the 64-bit hashes of its distinct word n-grams, at every input size. Hashes decide in two places only: two n-grams of one
+compared pair of sets that agree would count as one (for sets of a and b n-grams a chance below a * b / 2^64), and sets are told apart by
+128 bits. All sets share one global order, n-grams that are frequent in the corpus last. Two sets that reach the
+threshold share an n-gram among the first ``size - ceil(t * size) + 1`` of each (the prefix).
+
+1. *Sets.* One pass over the texts writes each document's set, and counts the n-grams of all sets in cells of a sketch (one cell for about
+   as many n-grams at every size, ``CELL_BITS`` at most). The order is by the logarithm of the cell's count, then by hash: any
+   order gives the same result, a better one only makes prefixes rarer, so cells that n-grams share cost no link.
+2. *Blocks.* Prefix n-grams meet by one shuffle of 16 bytes each, whatever the size of the corpus; sets that share one are
+   connected, components are the blocks. No pairs are made.
+3. *Trie join.* A block of at most ``BLOCK_SETS`` sets and about ``BLOCK_GRAMS`` n-grams is one tile, and a set goes there once. A larger
+   block whose sets mostly don't share their n-grams (a chain of common phrases) falls apart into one group for each shared
+   prefix n-gram: a set goes to the groups of its own prefix only, and a pair counts in the group of its smallest common prefix n-gram.
+   Only where nearly all sets of a large block or group share their n-grams, so that all pairs have to be compared, it is cut into chunks and
+   every two chunks meet. A tile stores its sets in a path-compressed trie, frequent n-grams
    first, and walks it once for all query sets together: the partial overlap at a node is shared by
    all sets below it, and a query leaves a subtree as soon as its overlap plus the smaller of the two
    remaining lengths can't reach the threshold. Tiles return a spanning forest and link counts.
 4. Components of these forests give the result.
 
 Equal sets are one class: a class meets others once, however many copies it has. Every row lost with
-an executor is remade from its input: batches are numbered by partition and place.
+an executor is remade from its input or from the written sets.
 
 Defined results: texts that are null or have no words have an empty set and link with nothing; fewer
 than n words are one n-gram; a null id links like any other row but never names a component; rows of
@@ -32,19 +36,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut_lineage, held, spread_out, table
+from .common import bound_batches, cut_lineage, held, park, spread_out, table
 from .components import components
 
 WORDS, PERCENT = 4, 85
 BLOCK_SETS, BLOCK_GRAMS = 128, 1 << 17
-#: Documents' worth of n-grams that one range counts at once, about.
-RANGE_SETS = 2048
+#: The sketch has about CELLS_A_ROW cells for each document, from 2^16 up to 2^CELL_BITS.
+CELLS_A_ROW, CELL_BITS = 16, 24
+#: The sketch travels in so many slices; FAN partial sums of each are added up first.
+SLICES, FAN = 64, 16
 #: Cells of the query-by-n-gram matrix that a tile holds at once.
 CELLS = 8 << 20
-#: Rows (of about 40 bytes) up to which a list of dropped documents or of blocks is broadcast; beyond, both sides are shuffled.
+#: Rows (of about 40 bytes) up to which a list of documents or blocks is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 HASH_CACHE = 150_000
 
@@ -60,12 +66,8 @@ class WordHash(dict):
 _M1, _M2, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
 
-#: Low bits of a hash that travel; its high bits are the number of the range it travels to.
-LOW = 48
-
-
-def ngrams(text: bytes | None, n: int, keep: int = -1) -> np.ndarray:
-    """Sorted distinct n-gram hashes (their bits in ``keep``) of a UTF-8 text; words are runs of other than \\x20 \\x09-\\x0D, A-Z lower-cased."""
+def ngrams(text: bytes | None, n: int) -> np.ndarray:
+    """Sorted distinct n-gram hashes of a UTF-8 text; words are runs of other than \\x20 \\x09-\\x0D, A-Z lower-cased."""
     words = text.lower().split() if text else []  # of bytes: ASCII only
     if not words:
         return np.empty(0, np.uint64)
@@ -78,19 +80,7 @@ def ngrams(text: bytes | None, n: int, keep: int = -1) -> np.ndarray:
             out ^= out >> _S
             out *= _M2
             out ^= out >> np.uint64(32)
-    return np.unique(out if keep < 0 else out & np.uint64(keep))
-
-
-def short(tokens: np.ndarray) -> np.ndarray:
-    """The LOW bits of each, six bytes apiece."""
-    return np.ascontiguousarray(tokens.astype("<u8").view("u1").reshape(-1, 8)[:, : LOW // 8]).reshape(-1)
-
-
-def whole(packed: np.ndarray, to: int, bits: int) -> np.ndarray:
-    """What ``short`` packed for range ``to`` of 2^bits."""
-    out = np.zeros((len(packed) // (LOW // 8), 8), "u1")
-    out[:, : LOW // 8] = packed.reshape(-1, LOW // 8)
-    return out.reshape(-1).view("<u8") | (np.uint64(to) << np.uint64(64 - bits))
+    return np.unique(out)
 
 
 def least_shared(size, percent: int):
@@ -112,125 +102,97 @@ def unpack(body: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def spread(tokens: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens by owner, and how many each of the n owners has."""
-    order = np.argsort(owner, kind="stable")
-    return tokens[order], np.bincount(owner, minlength=n).astype("<u4")
+#: Documents (with their set where it is the first of its kind in its partition), and at the end of each partition its part of the sketch.
+SETS = "doc_id long, text_hash long, n long, k binary, u long, tokens binary, slice int, fan int, counts binary"
+_SETS_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k", pa.binary()), ("u", pa.int64()), ("tokens", pa.binary()),
+     ("slice", pa.int32()), ("fan", pa.int32()), ("counts", pa.binary())]
+)
 
 
-_HEAD = ("i8", "u1", "i8", "u4", "V16", "u1", "u4", "u8")
-_ASK = ("u4", "u1", "u4", "u1")
-_TELL = ("u4", "u1", "u4", "u4")
+def squeeze(a: np.ndarray) -> bytes:
+    return pa.compress(a.tobytes(), codec="zstd", asbytes=True)
 
 
-def sets_of(n: int, ranges: int):
-    """Rows (to, batch, body): to >= 0 asks a range for frequencies, to < 0 carries the batch itself."""
-    bits = ranges.bit_length() - 1
-    shift = np.uint64(64 - bits)
-    keep = ((1 << bits) - 1) << (64 - bits) | ((1 << LOW) - 1)
+def expand(body: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(body, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
+
+def cell_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def sets_of(n: int, bits: int):
     def run(batches):
         seen: set[bytes] = set()  # classes of this partition
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        for seq, b in enumerate(batches):
-            ids = b.column(0)
-            sets = [ngrams(t, n, keep) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            sizes = np.array([len(s) for s in sets], "<u4")
-            keys = np.zeros(len(sets), "V16")
-            first = np.zeros(len(sets), "u1")
-            for i, s in enumerate(sets):
-                if len(s):
-                    k = xxhash.xxh3_128_digest(s.tobytes())
-                    keys[i] = np.void(k)
-                    if k not in seen:
-                        seen.add(k)
-                        first[i] = 1
-            reps = np.nonzero(first)[0]
-            tokens = np.concatenate([sets[i] for i in reps]) if len(reps) else np.empty(0, np.uint64)
-            owner = np.repeat(reps, sizes[reps])
-            kinds, inverse, count = np.unique(tokens, return_inverse=True, return_counts=True)
-            many = count[inverse] > 1
-            t2, n2 = spread(tokens[many], owner[many], len(sets))
-            k2, c2 = kinds[count > 1], count[count > 1].astype("<u4")
-            valid = np.array([x is not None for x in ids.to_pylist()], "u1")
-            plain = np.array([x or 0 for x in ids.to_pylist()], "<i8")
-            batch = (part << 32) | seq
-            rows = [(-1 - (batch % ranges), batch, pack(plain, valid, np.array(b.column(2), "<i8"), sizes, keys, first, n2, t2))]
-            t1, o1 = tokens[~many], owner[~many]
-            r1, r2 = ((t >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(t), np.int64) for t in (t1, k2))
-            order = np.argsort(r1, kind="stable")
-            t1, o1, r1 = t1[order], o1[order], r1[order]
-            e1, e2 = (np.searchsorted(r, np.arange(ranges + 1)) for r in (r1, r2))
-            for k in range(ranges):
-                i, j, p, q = e1[k], e1[k + 1], e2[k], e2[k + 1]
-                if i < j or p < q:
-                    ts, ns = spread(t1[i:j], o1[i:j], len(sets))
-                    rows.append((k, batch, pack(ns, short(ts), c2[p:q], short(k2[p:q]))))
+        counts = np.zeros(1 << bits, np.uint32)
+        for b in batches:
+            ids, hashes = b.column(0), b.column(2)
+            sizes, keys, tokens = [], [], []
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                s = ngrams(t, n)
+                body = s.tobytes()
+                k = xxhash.xxh3_128_digest(body) if len(s) else None
+                new = k is not None and k not in seen
+                if new:
+                    seen.add(k)
+                    counts[np.unique(cell_of(s, bits))] += 1
+                sizes.append(len(s))
+                keys.append(k)
+                tokens.append(body if new else None)
+            u = [int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys]
+            none = pa.nulls(len(sizes), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                ["to", "batch", "body"],
+                [ids, hashes, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(u, pa.int64()), pa.array(tokens, pa.binary()), none, none, pa.nulls(len(sizes), pa.binary())],
+                schema=_SETS_ARROW,
+            )
+        if seen:
+            parts = [squeeze(x) for x in np.split(counts, SLICES)]
+            none = pa.nulls(SLICES, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [none, none, none, pa.nulls(SLICES, pa.binary()), none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([part % FAN] * SLICES, pa.int32()), pa.array(parts, pa.binary())],
+                schema=_SETS_ARROW,
             )
 
     return run
 
 
-def count_range(t: pa.Table) -> pa.Table:
-    """Frequencies over all sets of one range's n-grams; back go those in two sets or more."""
-    held("counts", dict)  # lets go of what the worker kept for other steps
-    if t.column("to")[0].as_py() < 0:
-        return t
-    asks = [unpack(x, *_ASK) for x in t.column("body").to_pylist()]
-    asks = [(ns, whole(ts, 0, 1), cs, whole(ks, 0, 1)) for ns, ts, cs, ks in asks]  # in one range the low bits tell all
-    tokens = np.concatenate([x for a in asks for x in (a[1], a[3])])
-    weight = np.concatenate([x for a in asks for x in (np.ones(len(a[1])), a[2])])
-    _, inverse = np.unique(tokens, return_inverse=True)
-    df = np.bincount(inverse, weight)[inverse].astype("<u4")
-    out, at = [], 0
-    for ns, ts, _, ks in asks:
-        d1, d2 = df[at : at + len(ts)], df[at + len(ts) : at + len(ts) + len(ks)]
-        at += len(ts) + len(ks)
-        keep = d1 > 1
-        own = np.bincount(np.repeat(np.arange(len(ns)), ns)[keep], minlength=len(ns)).astype("<u4")
-        out.append(pack(own, short(ts[keep]), d1[keep], d2))
-    return pa.table({"to": t.column("to"), "batch": t.column("batch"), "body": pa.array(out, pa.binary())})
+def _sum_slices(cells: int):
+    def run(t: pa.Table) -> pa.Table:
+        total = np.zeros(cells, np.uint32)
+        for x in t.column("counts"):
+            total += expand(x.as_py(), "<u4", cells)
+        return pa.table({"slice": t.column("slice")[:1], "fan": t.column("fan")[:1], "counts": pa.array([squeeze(total)], pa.binary())})
 
+    return run
 
-SET_SCHEMA = "doc_id long, text_hash long, n long, k binary, tokens binary, prefix array<long>"
-_SET_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
+def rarity(sets: DataFrame, bits: int) -> np.ndarray:
+    """A byte for each cell: the more n-grams it counts, the higher (four steps for each doubling)."""
+    cells = (1 << bits) // SLICES
+    part = sets.where("slice is not null").select("slice", "fan", "counts")
+    for by in (("slice", "fan"), ("slice",)):
+        part = part.groupBy(*by).applyInArrow(_sum_slices(cells), "slice int, fan int, counts binary")
+    out = np.zeros((SLICES, cells), np.uint8)
+    for r in part.select("slice", "counts").collect():  # 2^CELL_BITS counts at most, compressed
+        out[r["slice"]] = np.minimum(255, 4 * np.log2(expand(r["counts"], "<u4", cells).astype(np.float64) + 1)).astype(np.uint8)
+    return out.reshape(-1)
 
-def assemble(percent: int, ranges: int):
-    """All documents of a batch; those that may have a partner with their shareable n-grams, frequent ones first."""
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("to").to_pylist(), t.column("body").to_pylist(), strict=True), key=lambda r: r[0])
-        ids, valid, hashes, sizes, keys, first, n2, t2 = unpack(rows[0][1], *_HEAD)
-        docs = np.arange(len(ids))
-        bits = ranges.bit_length() - 1
-        tells = [(ns, whole(ts, to, bits), d1, d2) for to, (ns, ts, d1, d2) in ((to, unpack(body, *_TELL)) for to, body in rows[1:])]
-        kinds = np.unique(t2)
-        df2 = np.concatenate([x[3] for x in tells]) if tells else np.empty(0, "u4")  # ranges ascend, and so do n-grams
-        owner = np.concatenate([np.repeat(docs, n2), *(np.repeat(docs, x[0]) for x in tells)])
-        tokens = np.concatenate([t2, *(x[1] for x in tells)])
-        df = np.concatenate([df2[np.searchsorted(kinds, t2)], *(x[2] for x in tells)])
-        shared = np.bincount(owner, minlength=len(docs))
-        order = np.lexsort((tokens, -df.astype(np.int64), owner))
-        tokens, ends = tokens[order], np.cumsum(shared)
-        need = least_shared(sizes.astype(np.int64), percent)
-        hope = (first == 1) & (shared >= need)
-        out_tokens, out_prefix = [None] * len(docs), [None] * len(docs)
-        for i in np.nonzero(hope)[0]:
-            own = tokens[ends[i] - shared[i] : ends[i]]
-            out_tokens[i] = own.tobytes()
-            out_prefix[i] = own[need[i] - 1 :].view(np.int64)
-        key = [bytes(k) if n else None for k, n in zip(keys.tolist(), sizes.tolist(), strict=True)]
-        return pa.table(
-            {
-                "doc_id": pa.array(ids, mask=valid == 0), "text_hash": pa.array(hashes), "n": pa.array(sizes.astype(np.int64)), "k": pa.array(key, pa.binary()),
-                "tokens": pa.array(out_tokens, pa.binary()), "prefix": pa.array(out_prefix, pa.list_(pa.int64())),
-            },
-            schema=_SET_ARROW,
-        )
+def prefix_of(tokens: np.ndarray, level: np.ndarray, bits: int, percent: int) -> np.ndarray:
+    n = len(tokens)
+    order = np.lexsort((tokens, level[cell_of(tokens, bits)]))
+    return tokens[order[: n - least_shared(n, percent) + 1]]
+
+
+def prefixes(level, bits: int, percent: int):
+    def run(batches):
+        for b in batches:
+            found = [prefix_of(np.frombuffer(x, "u8"), level.value, bits, percent).view(np.int64) for x in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["u", "prefix"])
 
     return run
 
@@ -303,16 +265,19 @@ def join_sets(stored: list[np.ndarray], stored_sizes, queries: list[np.ndarray],
             yield x, who + at
 
 
-def join_tile(percent: int):
-    """Rows (k, root, links) of a tile: a spanning forest of its links, and how many documents each class links with."""
+def join_tile(percent: int, level, bits: int):
+    """Rows (k, root, links) of a tile: a spanning forest of its links, and how many documents each class links with.
+    In the group of a prefix n-gram, only pairs that have no smaller one in common."""
 
     def run(t: pa.Table) -> pa.Table:
         keys, chunk = t.column("k").to_pylist(), np.array(t.column("chunk"))
         sizes, copies = np.array(t.column("n")), np.array(t.column("copies"))
         sets = [np.frombuffer(x, "u8") for x in t.column("tokens").to_pylist()]
-        a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+        a, b, by = t.column("a")[0].as_py(), t.column("b")[0].as_py(), t.column("by")[0].as_py()
         left, right = np.nonzero(chunk == a)[0], np.nonzero(chunk == b)[0]
         top, links = list(range(len(keys))), np.zeros(len(keys), np.int64)
+        if by is not None:
+            begin = [prefix_of(s, level.value, bits, percent).view(np.int64) for s in sets]
 
         def find(i):
             while top[i] != i:
@@ -324,6 +289,8 @@ def join_tile(percent: int):
                 i, js = left[x], right[who]
                 if a == b:
                     js = js[js > i]
+                if by is not None:
+                    js = js[[int(np.intersect1d(begin[i], begin[j], True).min()) == by for j in js]] if len(js) else js
                 np.add.at(links, js, copies[i])
                 links[i] += copies[js].sum()
                 for j in js:
@@ -335,6 +302,16 @@ def join_tile(percent: int):
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if counted to be small; else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _cut(sizes: DataFrame, *by: str) -> DataFrame:
+    """Into how many chunks each block or group (c sets, g n-grams) goes."""
+    return sizes.select(*by, "c", F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("g") / BLOCK_GRAMS)).alias("chunks"))
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, text_hash, component_key of every row of docs (doc_id long, text string).
 
@@ -344,38 +321,46 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    rows, ranges = docs.count(), 64
-    while ranges < 1 << 16 and ranges * RANGE_SETS < rows:
-        ranges *= 2
-    asked = spread_out(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"))).mapInArrow(sets_of(words, ranges), "to int, batch long, body binary")
-    told = asked.groupBy("to").applyInArrow(count_range, "to int, batch long, body binary")
-    every = cut_lineage(told.groupBy("batch").applyInArrow(assemble(percent, ranges), SET_SCHEMA))
+    bits = min(CELL_BITS, max(16, (docs.count() * CELLS_A_ROW).bit_length()))
+    written = park(spread_out(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"))).mapInArrow(sets_of(words, bits), SETS))
+    level = spark.sparkContext.broadcast(rarity(written, bits))  # 2^CELL_BITS bytes at most
+    every = written.where("slice is null")
     classes = every.where("n > 0").groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
-
-    hopeful = every.where(F.col("tokens").isNotNull())
-    prefix = hopeful.select("k", F.explode("prefix").alias("g")).distinct()
-    hub = prefix.groupBy("g").agg(F.min("k").alias("u"), F.max("k").alias("w")).where("u < w").select("g", "u")
-    blocks = cut_lineage(components(prefix.join(hub, "g").select("u", F.col("k").alias("v"))))
-
-    sets = hopeful.join(blocks.select(F.col("node").alias("k"), F.col("root").alias("block")), "k")
-    sets = sets.dropDuplicates(["k"]).join(classes.select("k", "copies"), "k")
-    sets = cut_lineage(sets.select("block", "k", "n", "copies", "tokens"))
-    size = sets.groupBy("block").agg(F.count("*").alias("c"), F.sum(F.octet_length("tokens") / 8).alias("g"))
-    size = cut_lineage(size.select("block", F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("g") / BLOCK_GRAMS)).alias("chunks")))
-    if size.count() <= BROADCAST_ROWS:  # then no large block has to pass through one task
-        size = F.broadcast(size)
-    dealt = sets.join(size, "block").withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    tiles = dealt.withColumns({"a": F.least("chunk", "o"), "b": F.greatest("chunk", "o")})
+    sets = every.where("tokens is not null").select("k", "u", "n", "tokens")
+
+    first = sets.select("u", "tokens").mapInArrow(prefixes(level, bits, percent), "u long, prefix array<long>").select(F.explode("prefix").alias("g"), "u")
+    same = Window.partitionBy("g")
+    met = first.withColumns({"lo": F.min("u").over(same), "hi": F.max("u").over(same)}).where("lo < hi")
+    met = cut_lineage(met.select("g", "u", "lo").distinct())  # prefix n-grams of two sets or more
+    blocks = cut_lineage(components(met.select("lo", "u").where("lo != u"), "lo", "u").select(F.col("node").alias("u"), F.col("root").alias("block")))
+    sets = sets.join(_small(blocks), "u").dropDuplicates(["k"]).join(classes.select("k", "copies"), "k")
+    sets = cut_lineage(sets.select("block", "u", "k", "n", "copies", "tokens"))
+
+    size = cut_lineage(_cut(sets.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("g")), "block"))
+    large = size.where("chunks > 1")
+    # large blocks whose shared n-grams ask for fewer comparisons than all pairs fall apart into the groups of these n-grams
+    of_large = met.join(blocks, "u").join(_small(large), "block").select("block", "g", "u", "c")
+    asked = of_large.groupBy("block", "g", "c").agg(F.count("*").cast("double").alias("m")).groupBy("block", "c").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+    apart = cut_lineage(asked.where("work < 1.0 * c * c").select("block"))
+    one = size.join(_small(apart), "block", "left_anti")
+    none = F.lit(None).cast("long").alias("by")
+    tiles = sets.join(_small(one), "block").select("block", none, "k", "n", "copies", "tokens", "chunks")
+    by_gram = of_large.join(_small(apart), "block").select("g", "u")
+    grams = by_gram.join(sets.select("block", "u", "k", "n", "copies", "tokens"), "u").withColumnRenamed("g", "by")
+    cut = cut_lineage(_cut(grams.groupBy("by").agg(F.count("*").alias("c"), F.sum("n").alias("g")), "by"))
+    tiles = tiles.union(grams.join(_small(cut), "by").select("block", "by", "k", "n", "copies", "tokens", "chunks"))
+    tiles = tiles.withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")))
+    tiles = tiles.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    tiles = tiles.withColumns({"a": F.least("chunk", "o"), "b": F.greatest("chunk", "o")})
     forest = cut_lineage(
-        tiles.groupBy("block", "a", "b").applyInArrow(join_tile(percent), "k binary, root binary, links long")
+        tiles.groupBy("block", "by", "a", "b").applyInArrow(join_tile(percent, level, bits), "k binary, root binary, links long")
     )
 
     joined = components(forest.select("k", "root"), "k", "root")
     links = forest.groupBy("k").agg(F.sum("links").alias("links"))
     classes = classes.join(joined.withColumnRenamed("node", "k"), "k", "left").join(links, "k", "left")
     classes = cut_lineage(classes.withColumn("root", F.coalesce("root", "k")))
-    names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = cut_lineage(classes.groupBy("root").agg(F.min("least").alias("component_id")))  # the join below can then split a large component
     named = classes.join(names, "root").select("k", F.col("root").alias("component_key"), "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return every.select("doc_id", "text_hash", "n", "k").join(named, "k", "left").select(
         "doc_id",

@@ -47,9 +47,9 @@ def brute_sets(text, n=4):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)}
 
 
-def brute_join(rows, percent=85):
+def brute_join(rows, percent=85, words=4):
     """{row index: (size, component's smallest id, links)}"""
-    sets = [brute_sets(t) for _, t in rows]
+    sets = [brute_sets(t, words) for _, t in rows]
     at = defaultdict(list)
     for i, s in enumerate(sets):
         for g in s:
@@ -73,10 +73,10 @@ def brute_join(rows, percent=85):
     return [(rows[i][0], len(sets[i]), min(least[top[i]], default=None), n[i]) for i in range(len(rows))]
 
 
-def compare_join(spark, rows):
+def compare_join(spark, rows, words=4, percent=85):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.lit("clash")).withColumn("n", F.lit(0))
     key = lambda r: tuple((x is None, x or 0) for x in r)
-    assert sorted(map(tuple, ngramjoin.jaccard_components(docs).drop("text_hash", "component_key").collect()), key=key) == sorted(brute_join(rows), key=key)
+    assert sorted(map(tuple, ngramjoin.jaccard_components(docs, words, percent).drop("text_hash", "component_key").collect()), key=key) == sorted(brute_join(rows, percent, words), key=key)
 
 
 def test_ngram_join_on_documents(spark):
@@ -122,6 +122,36 @@ def test_ngram_join_cuts_large_blocks(spark, monkeypatch):
     compare_join(spark, rows)
 
 
+def test_ngram_join_takes_sparse_blocks_apart(spark, monkeypatch):
+    """Texts in a chain of common phrases: one large block, few links."""
+    monkeypatch.setattr(ngramjoin, "BLOCK_SETS", 5)
+    r = random.Random(11)
+    phrases = [[f"p{i}w{k}" for k in range(9)] for i in range(90)]
+    rows = []
+    for i in range(89):
+        for v in range(r.choice([1, 1, 2, 9])):
+            t = phrases[i] + phrases[i + 1]
+            if v % 2:
+                t = t + [f"x{i}{v}"]
+            rows.append((1000 * i + v, " ".join(t)))
+    seen = []
+    real = ngramjoin.join_tile
+    monkeypatch.setattr(ngramjoin, "join_tile", lambda *a: seen.append(a) or real(*a))
+    for words, percent in ((4, 85), (5, 80)):
+        compare_join(spark, rows, words, percent)
+
+
+def test_prefixes_share_an_ngram_for_every_order():
+    r = np.random.default_rng(6)
+    for percent in (80, 85):
+        for _ in range(300):
+            level = r.integers(0, 5, 1 << 16).astype(np.uint8)
+            base = np.unique(r.integers(0, 2**63, r.integers(1, 60)).astype("u8"))
+            a, b = (np.unique(np.concatenate([base, r.integers(0, 2**63, r.integers(0, 9)).astype("u8")])) for _ in range(2))
+            if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                assert len(np.intersect1d(*(ngramjoin.prefix_of(x, level, 16, percent) for x in (a, b))))
+
+
 def test_ngram_join_empty(spark):
     assert ngramjoin.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
