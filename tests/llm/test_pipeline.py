@@ -27,7 +27,7 @@ def test_pipeline_stages_against_brute_force(spark):
         if name == "language_id":
             assert kept == {d for d, r in rows.items() if any(map(str.isalpha, r["text"] or ""))}
         if name == "ngram_join":
-            comp = {d: c for d, _, c, _ in brute_join([(d, rows[d]["text"]) for d in before])}
+            comp = {d: c for d, _, c, _ in brute_join([(d, rows[d]["text"]) for d in before], 80, 5)}
             assert kept == {d for d in before if comp[d] == d} and len(got) == len(kept) < len(before)
         if name == "mixing":
             assert kept == before and max(Counter(r["doc_id"] for r in got).values()) == 2
@@ -64,6 +64,14 @@ def test_pipeline_odd_rows(spark):
         assert empty.count() == 0
 
 
+def test_near_duplicates_of_five_words_and_eight_tenths(spark):
+    """Two of a hundred words replaced, far apart: 86 of 106 five-word n-grams are shared, but only 89 of 105 four-word ones."""
+    words = [f"w{i}" for i in range(100)]
+    edited = [("x" if i in (30, 70) else w) for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, "short one")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.ngram_join(spark, docs, "").collect()) == [1, 3]
+
+
 def test_keep_one_without_ids(spark):
     text = " ".join(f"w{i}" for i in range(80))
     docs = spark.createDataFrame([(None, text), (None, text + " x"), (None, text), (7, "other words in here"), (7, text)], "doc_id long, text string")
