@@ -3,13 +3,14 @@
 A document's set holds the 64-bit hashes of its distinct word n-grams, at every input size. Hashes decide in two places only: two n-grams of one
 compared pair of sets that agree would count as one (for sets of a and b n-grams a chance below a * b / 2^64), and sets are told apart by
 128 bits. All sets share one global order, n-grams that are frequent in the corpus last. Two sets that reach the
-threshold share an n-gram among the first ``size - ceil(t * size) + 1`` of each (the prefix).
+threshold share l n-grams among the first ``size - ceil(t * size) + l`` of each (the prefix); l grows with the size, so that one
+common passage doesn't bring two sets together.
 
 1. *Sets.* One pass over the texts writes each document's set, and counts the n-grams of all sets in cells of a sketch (one cell for about
    as many n-grams at every size, ``CELL_BITS`` at most). The order is by the logarithm of the cell's count, then by hash: any
    order gives the same result, a better one only makes prefixes rarer, so cells that n-grams share cost no link.
-2. *Blocks.* Prefix n-grams meet by one shuffle of 16 bytes each, whatever the size of the corpus; sets that share one are
-   connected, components are the blocks. No pairs are made.
+2. *Blocks.* Prefix n-grams meet by one shuffle of 16 bytes each, whatever the size of the corpus. A set that shares too few of its
+   own ends here; the others that share one are connected, components are the blocks. No pairs are made.
 3. *Trie join.* A block of at most ``BLOCK_SETS`` sets and about ``BLOCK_GRAMS`` n-grams is one tile, and a set goes there once. A larger
    block whose sets mostly don't share their n-grams (a chain of common phrases) falls apart into one group for each shared
    prefix n-gram: a set goes to the groups of its own prefix only, and a pair counts in the group of its smallest common prefix n-gram.
@@ -48,6 +49,8 @@ BLOCK_SETS, BLOCK_GRAMS = 128, 1 << 17
 CELLS_A_ROW, CELL_BITS = 16, 24
 #: The sketch travels in so many slices; FAN partial sums of each are added up first.
 SLICES, FAN = 64, 16
+#: Prefixes are longer by one n-gram for each so many of a set, and have to share as many more.
+PREFIX_SHARE = 12
 #: Cells of the query-by-n-gram matrix that a tile holds at once.
 CELLS = 8 << 20
 #: Rows (of about 40 bytes) up to which a list of documents or blocks is broadcast; beyond, both sides are shuffled.
@@ -88,6 +91,11 @@ def least_shared(size, percent: int):
     return (percent * size + 99) // 100
 
 
+def in_common(size):
+    """How many n-grams the prefixes of two linked sets have in common, if this is the smaller one's size."""
+    return size // PREFIX_SHARE + 1
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Each array as its length and its bytes."""
     return b"".join(x for a in arrays for x in (struct.pack("<q", a.nbytes), a.tobytes()))
@@ -102,10 +110,11 @@ def unpack(body: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-#: Documents (with their set where it is the first of its kind in its partition), and at the end of each partition its part of the sketch.
-SETS = "doc_id long, text_hash long, n long, k binary, u long, tokens binary, slice int, fan int, counts binary"
+#: Documents (with the partition, ``at``, and their set where it is the first of its kind there), and at the end of each partition its part of
+#: the sketch.
+SETS = "doc_id long, text_hash long, n long, k binary, u long, at int, tokens binary, slice int, fan int, counts binary"
 _SETS_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k", pa.binary()), ("u", pa.int64()), ("tokens", pa.binary()),
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k", pa.binary()), ("u", pa.int64()), ("at", pa.int32()), ("tokens", pa.binary()),
      ("slice", pa.int32()), ("fan", pa.int32()), ("counts", pa.binary())]
 )
 
@@ -143,15 +152,16 @@ def sets_of(n: int, bits: int):
                 tokens.append(body if new else None)
             u = [int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys]
             none = pa.nulls(len(sizes), pa.int32())
+            here = pa.array([part] * len(sizes), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [ids, hashes, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(u, pa.int64()), pa.array(tokens, pa.binary()), none, none, pa.nulls(len(sizes), pa.binary())],
+                [ids, hashes, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(u, pa.int64()), here, pa.array(tokens, pa.binary()), none, none, pa.nulls(len(sizes), pa.binary())],
                 schema=_SETS_ARROW,
             )
         if seen:
             parts = [squeeze(x) for x in np.split(counts, SLICES)]
             none = pa.nulls(SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.nulls(SLICES, pa.binary()), none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([part % FAN] * SLICES, pa.int32()), pa.array(parts, pa.binary())],
+                [none, none, none, pa.nulls(SLICES, pa.binary()), none, pa.nulls(SLICES, pa.int32()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([part % FAN] * SLICES, pa.int32()), pa.array(parts, pa.binary())],
                 schema=_SETS_ARROW,
             )
 
@@ -183,7 +193,7 @@ def rarity(sets: DataFrame, bits: int) -> np.ndarray:
 def prefix_of(tokens: np.ndarray, level: np.ndarray, bits: int, percent: int) -> np.ndarray:
     n = len(tokens)
     order = np.lexsort((tokens, level[cell_of(tokens, bits)]))
-    return tokens[order[: n - least_shared(n, percent) + 1]]
+    return tokens[order[: n - least_shared(n, percent) + in_common(n)]]
 
 
 def prefixes(level, bits: int, percent: int):
@@ -302,6 +312,14 @@ def join_tile(percent: int, level, bits: int):
     return run
 
 
+def least_shared_sql(n: str, percent: int) -> str:
+    return f"(({percent} * {n} + 99) div 100)"
+
+
+def in_common_sql(n: str) -> str:
+    return f"({n} div {PREFIX_SHARE} + 1)"
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast if counted to be small; else left to a shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -325,40 +343,45 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     written = park(spread_out(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"))).mapInArrow(sets_of(words, bits), SETS))
     level = spark.sparkContext.broadcast(rarity(written, bits))  # 2^CELL_BITS bytes at most
     every = written.where("slice is null")
-    classes = every.where("n > 0").groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
-    sets = every.where("tokens is not null").select("k", "u", "n", "tokens")
+    classes = every.where("n > 0").groupBy("k").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("u").alias("u"), F.first("n").alias("n"), F.min(F.when(F.col("tokens").isNotNull(), F.col("at"))).alias("at")
+    )
+    classes = park(classes)
 
-    first = sets.select("u", "tokens").mapInArrow(prefixes(level, bits, percent), "u long, prefix array<long>").select(F.explode("prefix").alias("g"), "u")
+    first = every.where("tokens is not null").select("u", "tokens").mapInArrow(prefixes(level, bits, percent), "u long, prefix array<long>").select(F.explode("prefix").alias("g"), "u")
     same = Window.partitionBy("g")
-    met = first.withColumns({"lo": F.min("u").over(same), "hi": F.max("u").over(same)}).where("lo < hi")
-    met = cut_lineage(met.select("g", "u", "lo").distinct())  # prefix n-grams of two sets or more
+    met = park(first.withColumns({"lo": F.min("u").over(same), "hi": F.max("u").over(same)}).where("lo < hi").select("g", "u").distinct())  # of two sets or more
+    enough = in_common_sql(least_shared_sql("n", percent))
+    hopeful = met.groupBy("u").agg(F.count("*").alias("shared")).join(classes.select("u", "n"), "u").where(f"shared >= {enough}").select("u").distinct()
+    met = met.join(_small(cut_lineage(hopeful)), "u")
+    met = cut_lineage(met.withColumns({"lo": F.min("u").over(same), "hi": F.max("u").over(same)}).where("lo < hi").select("g", "u", "lo"))
     blocks = cut_lineage(components(met.select("lo", "u").where("lo != u"), "lo", "u").select(F.col("node").alias("u"), F.col("root").alias("block")))
-    sets = sets.join(_small(blocks), "u").dropDuplicates(["k"]).join(classes.select("k", "copies"), "k")
-    sets = cut_lineage(sets.select("block", "u", "k", "n", "copies", "tokens"))
+    chosen = park(classes.join(_small(blocks), "u").select("block", "u", "k", "n", "copies", "at"))
+    # the sets themselves move once, to their tiles
+    bodies = every.where("tokens is not null").select("k", "at", "tokens")
 
-    size = cut_lineage(_cut(sets.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("g")), "block"))
+    size = cut_lineage(_cut(chosen.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("g")), "block"))
     large = size.where("chunks > 1")
     # large blocks whose shared n-grams ask for fewer comparisons than all pairs fall apart into the groups of these n-grams
     of_large = met.join(blocks, "u").join(_small(large), "block").select("block", "g", "u", "c")
     asked = of_large.groupBy("block", "g", "c").agg(F.count("*").cast("double").alias("m")).groupBy("block", "c").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
     apart = cut_lineage(asked.where("work < 1.0 * c * c").select("block"))
     one = size.join(_small(apart), "block", "left_anti")
-    none = F.lit(None).cast("long").alias("by")
-    tiles = sets.join(_small(one), "block").select("block", none, "k", "n", "copies", "tokens", "chunks")
-    by_gram = of_large.join(_small(apart), "block").select("g", "u")
-    grams = by_gram.join(sets.select("block", "u", "k", "n", "copies", "tokens"), "u").withColumnRenamed("g", "by")
-    cut = cut_lineage(_cut(grams.groupBy("by").agg(F.count("*").alias("c"), F.sum("n").alias("g")), "by"))
-    tiles = tiles.union(grams.join(_small(cut), "by").select("block", "by", "k", "n", "copies", "tokens", "chunks"))
+    tiles = chosen.join(_small(one.select("block", "chunks")), "block").withColumn("by", F.lit(None).cast("long"))
+    grams = of_large.join(_small(apart), "block").select(F.col("g").alias("by"), "u").join(chosen, "u")
+    cut = cut_lineage(_cut(grams.groupBy("by").agg(F.count("*").alias("c"), F.sum("n").alias("g")), "by").select("by", "chunks"))
+    tiles = tiles.unionByName(grams.join(_small(cut), "by"))
     tiles = tiles.withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")))
     tiles = tiles.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    tiles = tiles.withColumns({"a": F.least("chunk", "o"), "b": F.greatest("chunk", "o")})
+    tiles = cut_lineage(tiles.select("block", "by", "k", "at", "n", "copies", "chunk", F.least("chunk", "o").alias("a"), F.greatest("chunk", "o").alias("b")))
+    tiles = bodies.join(_small(tiles), ["k", "at"])
     forest = cut_lineage(
         tiles.groupBy("block", "by", "a", "b").applyInArrow(join_tile(percent, level, bits), "k binary, root binary, links long")
     )
 
     joined = components(forest.select("k", "root"), "k", "root")
     links = forest.groupBy("k").agg(F.sum("links").alias("links"))
-    classes = classes.join(joined.withColumnRenamed("node", "k"), "k", "left").join(links, "k", "left")
+    classes = classes.select("k", "copies", "least").join(joined.withColumnRenamed("node", "k"), "k", "left").join(links, "k", "left")
     classes = cut_lineage(classes.withColumn("root", F.coalesce("root", "k")))
     names = cut_lineage(classes.groupBy("root").agg(F.min("least").alias("component_id")))  # the join below can then split a large component
     named = classes.join(names, "root").select("k", F.col("root").alias("component_key"), "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
