@@ -218,10 +218,30 @@ def test_urlfilter_against_brute_force(spark):
     assert urlfilter.filter_urls(pages.limit(0)).count() == 0
 
 
-def test_urlfilter_learns_its_table(spark):
-    rows = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urlfilter.LABELLED)], "page_id long, url string")
-    got = {r["page_id"]: r["score"] > 0 for r in urlfilter.filter_urls(rows).collect()}
-    assert sum(got[i] == bool(y) for i, (_, y) in enumerate(urlfilter.LABELLED)) >= 0.95 * len(got)
+def verdicts(spark, urls, labelled=urlfilter.LABELLED):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["score"] > 0 for r in urlfilter.filter_urls(pages, labelled=labelled).collect()}
+    return [got[i] for i in range(len(urls))]
+
+
+def test_urlfilter_held_out_rows_of_its_table(spark):
+    table = urlfilter.LABELLED
+    assert 500 < len(table) <= urlfilter.MAX_LABELLED and sum(y for _, y in table) == len(table) // 5
+    for y in (0, 1):  # both classes have all languages
+        assert all(any(v == y and f"/{lang}/" in u for u, v in table) for lang in ("en", "de", "fr", "es"))
+    held = [r for r in table if zlib.crc32(r[0].encode()) % 4 == 3]
+    got = verdicts(spark, [u for u, _ in held], tuple(r for r in table if r not in set(held)))
+    assert sum(g == bool(y) for g, (_, y) in zip(got, held)) >= 0.95 * len(held)
+    assert sum(g for g, (_, y) in zip(got, held) if y) >= 0.9 * sum(y for _, y in held)
+
+
+def test_urlfilter_judges_words_not_languages(spark):
+    hosts = ["tionble.example.org", "m.ththnd.example.net", "blog.harbour-walks.org", "spam-farm.example.org", "www.best-casino.example.com", "cheap-pills.info"]
+    paths = ["/{}/1523", "/{}/94.html", "/{}/7/", "/{}/20#top"]
+    urls = [f"https://{h}{p.format(lang)}" for h in hosts for p in paths for lang in ("en", "de", "fr", "es")]
+    got = verdicts(spark, urls)
+    for i, h in enumerate(hosts):
+        assert got[16 * i : 16 * i + 16] == [i > 2] * 16, h
 
 
 def test_urlfilter_plan_is_native(spark):
