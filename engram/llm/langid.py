@@ -6,9 +6,9 @@ their mean log frequency. A document's score is the sum over its words; the pred
 language with the highest score (ties: the smallest name), and ``score`` its softmax share.
 
 Fitting is Spark SQL over a bounded sample of labelled rows: at most about ``per_language`` documents
-of each language, chosen by a hash of the id. The model keeps the ``words`` most frequent (language,
-word) and ``grams`` most frequent (language, n-gram) entries, so that what is broadcast has a fixed
-bound; all other words count as unseen. Prediction is one Arrow pass without a shuffle; a worker
+of each language, chosen by a hash of the id, of the ``MAX_LANGUAGES`` most frequent languages (rarer labels are never
+predicted). The model keeps ``words`` (language, word) and ``grams`` (language, n-gram) entries, the most frequent ones of each
+language in equal shares, so that what is broadcast has a fixed bound; all other words count as unseen. Prediction is one Arrow pass without a shuffle; a worker
 holds a batch, the model and a bounded cache of word scores.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; words without any
@@ -24,7 +24,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,12 @@ def _tuples(df: DataFrame) -> list[tuple]:
     return list(zip(*(c.to_pylist() for c in df.toArrow().columns), strict=True))
 
 
+def _most_frequent(counts: DataFrame, n: int, *names: str) -> DataFrame:
+    """The n most frequent entries of each language, so that rare languages keep theirs. counts comes from the bounded sample."""
+    order = Window.partitionBy("lang").orderBy(F.desc("c"), *names)
+    return counts.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= max(1, n))
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, grams: int = GRAMS) -> dict:
     """Model from text and lang alone of labelled rows that are not held out."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
@@ -60,19 +66,17 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, g
     counts = found.groupBy("lang", "w").agg(F.count("*").alias("c")).persist(StorageLevel.DISK_ONLY)
     try:
         total = {r["lang"]: (r["n"], r["k"]) for r in counts.groupBy("lang").agg(F.sum("c").alias("n"), F.count("*").alias("k")).collect()}
-        top = _tuples(counts.where(F.length("w") <= LONGEST).orderBy(F.desc("c"), "lang", "w").limit(words).select("lang", "w", "c"))
+        top = _tuples(_most_frequent(counts.where(F.length("w") <= LONGEST), words // len(langs), "w").select("lang", "w", "c"))
         marked = F.concat(F.lit("^"), "w", F.lit("$"))
-        cut = [
-            F.transform(
-                F.regexp_extract_all(F.col("w") if n == 1 else marked, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)),
-                lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g")),
-            )
-            for n in ORDERS
-        ]
+
+        def entry(n: int):  # a lambda of one parameter: a second one would be the place in the array
+            return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+
+        cut = [F.transform(F.regexp_extract_all(F.col("w") if n == 1 else marked, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)), entry(n)) for n in ORDERS]
         pieces = counts.select("lang", "c", F.inline(F.concat(*cut))).groupBy("lang", "n", "g").agg(F.sum("c").alias("c"))
         pieces = pieces.persist(StorageLevel.DISK_ONLY)
         sums = {(r["lang"], r["n"]): (r["s"], r["k"]) for r in pieces.groupBy("lang", "n").agg(F.sum("c").alias("s"), F.count("*").alias("k")).collect()}
-        kept = _tuples(pieces.orderBy(F.desc("c"), "lang", "n", "g").limit(grams).select("lang", "g", "c"))
+        kept = _tuples(_most_frequent(pieces, grams // len(langs), "n", "g").select("lang", "g", "c"))
         pieces.unpersist()
     finally:
         counts.unpersist()
