@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, table
 
 POINTS, ROUNDS = 24, 4
+#: Where sources are so nearly equal that no exponent up to this one meets a target entropy, it is the one that is taken.
+MOST_EXPONENT = 16.0**4
 BLOCK_ROWS, MAX_BLOCKS = 256, 1 << 16
 #: Rows of the block table up to which it is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 100_000
@@ -58,7 +60,7 @@ def source_table(docs: DataFrame) -> DataFrame:
 def _measures(sources: DataFrame, total: int, exponents: list[float]) -> list[dict]:
     """For every exponent: normaliser z, entropy, and the extremes of weight over share."""
     p = F.col("t") / float(total)
-    cols = []
+    cols = []  # of shares below one, high powers fade to 0: there the sums are those of the largest sources, as they should be
     for i, a in enumerate(exponents):
         w = F.pow(p, F.lit(a))
         cols += [
@@ -93,7 +95,11 @@ def temperature(sources: DataFrame, total: int, budget: float | None, entropy: f
     kinds = sources.where("t > 0").count()
     if entropy is not None:
         goal = entropy * math.log(kinds) if kinds > 1 else 0.0
-        a = bisect_exponent(sources, total, lambda m: m["entropy"] <= goal + 1e-12, 0.0, 16.0) if kinds > 1 else 1.0
+        met = lambda m: m["entropy"] <= goal + 1e-12
+        high = 16.0
+        while kinds > 1 and high < MOST_EXPONENT and not met(_measures(sources, total, [high])[0]):
+            high *= 16
+        a = bisect_exponent(sources, total, met, 0.0, high) if kinds > 1 else 1.0
     else:
         most = math.inf if repeats is None else repeats
 
