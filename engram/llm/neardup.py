@@ -5,7 +5,8 @@ cells to chunks of bounded size. Two chunks meet in a tile unless the triangle i
 their cells are too far apart. A tile quantises its unit vectors to int8 with one scale for each
 chunk; the product of the codes is exact. With the measured quantisation errors ``e`` (norm of what
 rounding took off each vector), a cosine differs from the scaled product by at most
-``e_x + e_y + e_x * e_y``. Only pairs that may thus reach the threshold are recomputed in doubles.
+``e_x + e_y + e_x * e_y``. Only pairs that may thus reach the threshold, and aren't sure to, are recomputed in doubles. A
+tile is worked through in strips of rows, so that its memory doesn't depend on how many of its pairs link.
 
 Tiles return a spanning forest and link counts, never pairs; components of the forest are the result.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, cut_lineage, table
 from .components import components
-from .vectors import SLACK, as_bytes, chunk_rows, deal, forest, sample, stack, valid
+from .vectors import SLACK, as_bytes, chunk_rows, deal, sample, stack, valid
 
 THRESHOLD = 0.95
 
@@ -49,22 +50,45 @@ def int_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(kind) @ b.astype(kind).T
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) of unit rows with cosine >= threshold; without b, those of a with i < j."""
+#: Cells of a strip of a tile: so many products, and candidate pairs, are held at once.
+STRIP_CELLS, PAIRS = 1 << 20, 1 << 14
+
+
+def tile_links(a: np.ndarray, b: np.ndarray | None, threshold: float):
+    """Yields (i, js) for rows i of unit vectors a and the rows js of b (without b: the later ones of a) with cosine >= threshold. Works
+    through strips of rows: however many pairs link, no more than a strip's are held. Pairs that the bounds put beyond the threshold
+    need no second look, pairs that may reach it are recomputed in doubles."""
     other = a if b is None else b
     (qa, sa, ea), (qb, sb, eb) = quantise(a), quantise(other)
-    g = int_product(qa, qb)
-    loosest = threshold - ea.max() - eb.max() - ea.max() * eb.max() - 1e-9
-    i, j = np.nonzero(g >= loosest * sa * sb)
-    near = g[i, j] / (sa * sb) + ea[i] + eb[j] + ea[i] * eb[j] + 1e-9 >= threshold
-    if b is None:
-        near &= i < j
-    i, j = i[near], j[near]
-    hit = np.zeros(len(i), bool)
-    for k in range(0, len(i), 1 << 16):
-        s = slice(k, k + (1 << 16))
-        hit[s] = (a[i[s]] * other[j[s]]).sum(1) >= threshold
-    return i[hit], j[hit]
+    step = max(1, STRIP_CELLS // max(1, len(other)))
+    for at in range(0, len(a), step):
+        rows = slice(at, at + step)
+        g = int_product(qa[rows], qb) / (sa * sb)
+        slack = ea[rows, None] + eb + ea[rows, None] * eb + 1e-9
+        maybe = g + slack >= threshold
+        if b is None:
+            maybe &= np.arange(len(other)) > np.arange(at, at + len(g))[:, None]
+        hit = maybe & (g - slack >= threshold)
+        i, j = np.nonzero(maybe & ~hit)
+        for k in range(0, len(i), PAIRS):
+            p, q = i[k : k + PAIRS], j[k : k + PAIRS]
+            hit[p, q] = (a[at + p] * other[q]).sum(1) >= threshold
+        for r in np.nonzero(hit.any(1))[0]:
+            yield at + int(r), np.nonzero(hit[r])[0]
+
+
+def tile_forest(a: np.ndarray, b: np.ndarray | None, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows of a, then those of b: the smallest row that each reaches, and the copies of all rows it links with."""
+    first = 0 if b is None else len(a)
+    root, links = np.arange(len(copies)), np.zeros(len(copies), np.int64)
+    for i, js in tile_links(a, b, threshold):
+        js = js + first
+        links[i] += copies[js].sum()
+        links[js] += copies[i]
+        own = np.unique(root[np.append(js, i)])
+        if len(own) > 1:
+            root[np.isin(root, own)] = own[0]
+    return root, links
 
 
 def _pack_chunk(t: pa.Table) -> pa.Table:
@@ -87,18 +111,10 @@ def _tile(threshold: float):
         copies = np.concatenate([np.frombuffer(c, np.int64) for _, _, c, _ in rows])
         parts = [unit(stack([v], dim)) for *_, v in rows]
         lone = t.column("a")[0].as_py() == t.column("b")[0].as_py()
-        none = np.empty(0, np.int64)
-        if lone:
-            i, j = tile_links(parts[0], None, threshold)
-        elif len(parts) == 2:
-            i, j = tile_links(parts[0], parts[1], threshold)
-            j = j + len(parts[0])
+        if lone or len(parts) == 2:
+            root, links = tile_forest(parts[0], None if lone else parts[1], copies, threshold)
         else:
-            i, j = none, none
-        links = np.zeros(len(keys), np.int64)
-        np.add.at(links, i, copies[j])
-        np.add.at(links, j, copies[i])
-        root = forest(len(keys), i, j)
+            root, links = np.arange(len(keys)), np.zeros(len(keys), np.int64)
         keep = np.nonzero(links)[0].tolist()
         return pa.table(
             {
@@ -145,8 +161,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     joined = components(forest_rows.select("k", "root"), "k", "root")
     links = forest_rows.groupBy("k").agg(F.sum("links").alias("links"))
     named = classes.select("k", "copies", "least").join(joined.withColumnRenamed("node", "k"), "k", "left").join(links, "k", "left")
-    named = named.withColumn("root", F.coalesce("root", "k"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut_lineage(named.withColumn("root", F.coalesce("root", "k")))
+    names = cut_lineage(named.groupBy("root").agg(F.min("least").alias("component_id")))  # the join below can then split a large component
     named = named.join(names, "root").select("k", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     linked = keyed.select("vec_id", "k").join(named, "k").select("vec_id", "n_links", "component_id")
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")

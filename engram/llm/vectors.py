@@ -1,4 +1,4 @@
-"""Vectors in metric cells: validity, pivots, chunks and link forests, shared by two operators."""
+"""Vectors in metric cells: validity, pivots, chunks and samples, shared by two operators."""
 
 from __future__ import annotations
 
@@ -68,23 +68,3 @@ def sample(points: DataFrame, n: int) -> list[bytes]:
     k = max(1, min(MAX_PIVOTS, n // (2 * chunk_rows(n))))
     rows = points.select("v").orderBy(F.xxhash64("id", "v"), "v").limit(k).collect()
     return sorted({bytes(r["v"]) for r in rows})
-
-
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index that each of 0..n-1 reaches over the links i-j."""
-    a, b = np.concatenate([i, j]), np.concatenate([j, i])
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    ends = np.searchsorted(a, np.arange(n + 1))
-    root = np.full(n, -1, np.int64)
-    for start in range(n):
-        if root[start] >= 0:
-            continue
-        root[start], todo = start, [start]
-        while todo:
-            at = todo.pop()
-            new = b[ends[at] : ends[at + 1]]
-            new = np.unique(new[root[new] < 0])
-            root[new] = start
-            todo.extend(new.tolist())
-    return root

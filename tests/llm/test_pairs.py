@@ -231,6 +231,30 @@ def test_quantisation_bound_is_rigorous():
         assert (np.abs(g / (sa * sb) - u @ v.T) <= ea[:, None] + eb + ea[:, None] * eb).all()
 
 
+def test_a_dense_tile_keeps_no_pairs():
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    u = neardup.unit(r.normal(size=64) + 0.01 * r.normal(size=(4096, 64)))
+    copies = np.ones(4096, np.int64)
+    tracemalloc.start()
+    root, links = neardup.tile_forest(u, None, copies, 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (root == 0).all() and (links == 4095).all() and peak < 150 << 20
+    root, links = neardup.tile_forest(u[:1000], u[1000:], copies, 0.95)
+    assert (root == 0).all() and (links[:1000] == 3096).all() and (links[1000:] == 1000).all()
+
+
+def test_tile_strips_against_all_cosines(monkeypatch):
+    monkeypatch.setattr(neardup, "STRIP_CELLS", 400)
+    r = np.random.default_rng(9)
+    u = neardup.unit(np.repeat(r.normal(size=(12, 20)), 8, 0) + r.normal(size=(96, 20)) * r.choice([0.1, 0.25, 0.3], size=(96, 1)))
+    want = {(i, j) for i in range(96) for j in range(i + 1, 96) if u[i] @ u[j] >= 0.95}
+    assert {(i, int(j)) for i, js in neardup.tile_links(u, None, 0.95) for j in js} == want and len(want) > 50
+    assert {(i, int(j) + 40) for i, js in neardup.tile_links(u[:40], u[40:], 0.95) for j in js} == {p for p in want if p[0] < 40 <= p[1]}
+
+
 # --- 9: exact top-k
 
 
