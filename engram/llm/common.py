@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,10 +79,21 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Long jobs of many queries leave plans, broadcasts and shuffle files behind that nothing refers to any more; a collection on the
+    driver lets go of them, and of the executors' parts, now instead of when its heap is full."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    spark._jvm.System.gc()
+
+
 def park(df: DataFrame) -> DataFrame:
     """df written to the shared folder in small row groups and read again: reads take the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/engram-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", 32 << 20).parquet(path)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -94,7 +106,9 @@ def remove(spark: SparkSession, path: str) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)
+    tidy(df.sparkSession)
+    return cut
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -54,7 +54,7 @@ PREFIX_SHARE = 12
 #: Cells of the query-by-n-gram matrix that a tile holds at once.
 CELLS = 8 << 20
 #: Rows (of about 40 bytes) up to which a list of documents or blocks is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 HASH_CACHE = 150_000
 
 
