@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch: documents can be long, so batches stay small.
 BATCH_ROWS = 400
 BATCH_BYTES = 4 << 20
+#: Share of the driver's greatest heap from which on garbage is collected between queries.
+HEAP_SHARE = 0.4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +83,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def tidy(spark: SparkSession) -> None:
     """Long jobs of many queries leave plans, broadcasts and shuffle files behind that nothing refers to any more; a collection on the
-    driver lets go of them, and of the executors' parts, now instead of when its heap is full."""
+    driver lets go of them, and of the executors' parts, before its heap is full."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() < HEAP_SHARE * heap.maxMemory():
+        return
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
