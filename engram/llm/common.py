@@ -94,12 +94,17 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def park(df: DataFrame) -> DataFrame:
-    """df written to the shared folder in small row groups and read again: reads take the columns they need."""
+def write_out(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written to the shared folder in small row groups and read again, and its path: reads take the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/engram-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", 32 << 20).parquet(path)
     tidy(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def park(df: DataFrame) -> DataFrame:
+    """A table written out that stays."""
+    return write_out(df)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

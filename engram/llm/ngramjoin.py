@@ -401,16 +401,15 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     rows = cut_lineage(jaccard_components(docs, words, percent))
     ranked = rows.where("component_key is not null").select("component_key", F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash").alias("s"))
     first = cut_lineage(ranked.groupBy("component_key").agg(F.min("s").alias("f")))  # the join below can then split a large component
-    gone = ranked.join(first, "component_key").where(~F.col("s").eqNullSafe(F.col("f"))).select("s.doc_id", "s.text_hash").distinct()
-    twice = ranked.groupBy("s").count().where("count > 1").select("s.doc_id", "s.text_hash")
+    gone = cut_lineage(ranked.join(first, "component_key").where(~F.col("s").eqNullSafe(F.col("f"))).select("s.doc_id", "s.text_hash").distinct())
+    twice = cut_lineage(ranked.groupBy("s").count().where("count > 1").select("s.doc_id", "s.text_hash"))
 
     def having(df: DataFrame, keys: DataFrame, n: int, how: str) -> DataFrame:
         keys = F.broadcast(keys) if n <= BROADCAST_ROWS else keys
         return df.join(keys, df["doc_id"].eqNullSafe(keys["doc_id"]) & (F.xxhash64(df["text"]) == keys["text_hash"]), how)
 
-    kept = having(docs, cut_lineage(gone), gone.count(), "left_anti")
+    kept = having(docs, gone, gone.count(), "left_anti")
     if n := twice.count():  # rows that repeat both id and text: one of them
-        twice = cut_lineage(twice)
         kept = having(kept, twice, n, "left_anti").union(having(kept, twice, n, "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept
 
