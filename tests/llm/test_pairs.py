@@ -153,6 +153,49 @@ def test_prefixes_share_an_ngram_for_every_order():
                 assert all(len(both) >= ngramjoin.in_common(ngramjoin.least_shared(len(x), percent)) for x in (a, b))
 
 
+def test_ngram_join_writes_no_sets_that_meet_none(spark):
+    import os
+
+    from engram.llm.common import shared_folder
+
+    def written():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(shared_folder(spark).removeprefix("file:")) for f in fs)
+
+    r = random.Random(12)
+    texts = [" ".join(f"{r.randrange(10**7)}" for _ in range(2000)) for _ in range(200)]
+    before = written()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(x) for x in ngramjoin.jaccard_components(docs).select("doc_id", "component_id", "n_links").collect()} == {(i, i, 0) for i in range(200)}
+    assert written() - before < 0.6 * sum(map(len, texts))
+
+
+def test_ngram_join_in_rounds(spark, monkeypatch):
+    """Sets that move in several rounds, every list shuffled: the same links; and near copies go by marks."""
+    for name, value in (("BLOCK_SETS", 5), ("ROUND_BYTES", 1 << 12), ("ROUND_SHARE", 0), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    r = random.Random(13)
+    rows = []
+    for base in range(4):
+        text = [f"b{base}w{i}" for i in range(70)]
+        for v in range(12):
+            t = list(text)
+            for _ in range(r.randrange(4)):
+                t[r.randrange(70)] = "z"
+            rows.append((100 * base + v, " ".join(t)))
+    rows += [(3, rows[3][1]), (None, rows[20][1]), (900, "alone in its own words"), (901, None)]
+    compare_join(spark, rows)
+    kept = ngramjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    least = {c for _, n, c, _ in brute_join(rows) if n}
+    assert sorted(x["doc_id"] for x in kept) == sorted(least | {901})
+
+
+def test_marks_hold_all_and_few_others(spark):
+    ids = spark.range(40_000).select(F.col("id"), F.xxhash64("id").alias("h"))
+    is_marked = ngramjoin.marked(ids.where("id < 4000").select("h"), 40_000)
+    got = {x["id"] for x in ids.where(is_marked("h")).collect()}
+    assert got >= set(range(4000)) and len(got) < 8000
+
+
 def test_ngram_join_empty(spark):
     assert ngramjoin.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
