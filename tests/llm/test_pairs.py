@@ -263,6 +263,26 @@ def test_neardup_odd_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neardup_moves_vectors_once(spark):
+    """What is shuffled grows with the vectors, not with the pairs of chunks."""
+
+    def moved():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(e.totalShuffleWrite() for e in (store.executorList(False).apply(i) for i in range(store.executorList(False).size())))
+
+    r = np.random.default_rng(14)
+    rows = [(i, r.normal(size=64).tolist()) for i in range(3000)]
+    rows += [(5000 + i, rows[i % 40][1]) for i in range(400)] + [(6000 + i, (np.array(rows[i][1]) * 3 + 0.01).tolist()) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    before = moved()
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in neardup.near_duplicates(df).collect()}
+    assert moved() - before < 4 * 256 * len(rows)
+    assert got[0] == (11, 0) and got[6000] == (11, 0) and got[45] == (1, 45) and got[6045] == (1, 45) and got[2000] == (0, 2000)
+    doubles = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {x["vec_id"]: (x["n_links"], x["component_id"]) for x in doubles.collect()} == got
+
+
 def test_quantisation_bound_is_rigorous():
     r = np.random.default_rng(3)
     for dim in (2, 64, 1500):
