@@ -189,6 +189,30 @@ def test_ngram_join_in_rounds(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in kept) == sorted(least | {901})
 
 
+def test_keep_one_moves_no_texts_but_marked_ones(spark, monkeypatch):
+    """Where the list of copies is too long to broadcast, the texts of other rows stay where they are."""
+    monkeypatch.setattr(ngramjoin, "BROADCAST_ROWS", 0)
+    r = random.Random(15)
+    texts = [" ".join(f"{r.randrange(10**7)}" for _ in range(1000)) for _ in range(150)]
+    rows = [*enumerate(texts), (200, texts[7]), (201, texts[8] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        every = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngramjoin.keep_one(docs, 5, 80)
+        at = moved()
+        assert sorted(x["doc_id"] for x in kept.collect()) == list(range(150))
+        assert moved() - at < 0.2 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_marks_hold_all_and_few_others(spark):
     ids = spark.range(40_000).select(F.col("id"), F.xxhash64("id").alias("h"))
     is_marked = ngramjoin.marked(ids.where("id < 4000").select("h"), 40_000)
